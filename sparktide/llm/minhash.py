@@ -286,4 +286,3 @@ def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-__all__ = ["drop_near_duplicates", "near_duplicate_groups", "near_duplicates", "pick", "shingles", "spanning_pairs", "superminhash"]

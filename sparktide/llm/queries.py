@@ -1,8 +1,16 @@
 """Queries of the corpus operators: each over its whole table, with production parameters."""
 
-from . import minhash
+from . import minhash, mixing, packing, sharding, substring, toxicity
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_query,
+    "op2_substring_dedup": substring.op2_query,
+    "op5_hash_tree_sharding": sharding.op5_query,
+    "op6_poisson_mixing": mixing.op6_query,
+    "op7_toxicity": toxicity.op7_query,
     "op9_superminhash_near_dedup": minhash.op9_query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_hash_tree_sharding": sharding.OP5_SQL,
+    "op6_poisson_mixing": mixing.OP6_SQL,
+}
