@@ -30,6 +30,7 @@ ROUNDS = 300
 L2 = 0.02
 _ENDS = np.array([ord(c) for c in ".!?\n。！？…"], dtype=np.uint32)
 _BITS = 20
+_SCREEN = 22
 
 
 def sentence_words(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,6 +85,14 @@ class Model:
         return -np.expm1(-total), w, doc, first, 1 / (1 + np.exp(-z))
 
 
+def _g_test(pos: np.ndarray, neg: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """G statistic of features against the label, from the documents of either label that have them; 0 below 3 documents."""
+    e1, e0 = (pos + neg) * n1 / (n1 + n0), (pos + neg) * n0 / (n1 + n0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = np.where(pos > 0, pos * np.log(pos / e1), 0) + np.where(neg > 0, neg * np.log(neg / e0), 0)
+    return np.where(pos + neg < 3, 0.0, g)
+
+
 def fit(texts: list[str], labels: np.ndarray, max_features: int = MAX_FEATURES, rounds: int = ROUNDS, l2: float = L2) -> Model:
     """The model for labelled texts; without texts of both labels, one that scores all near 0.
 
@@ -93,19 +102,37 @@ def fit(texts: list[str], labels: np.ndarray, max_features: int = MAX_FEATURES,
     nothing = Model(np.zeros(0, dtype=U64), np.zeros(0), -30.0)
     if not y.any() or y.all():
         return nothing
-    hs, ss, ds, sentence_doc = [], [], [], []
+    # a first pass counts documents of either label by bucket of features, so that only promising ones are kept
+    counts = np.zeros((2, 1 << _SCREEN), dtype=np.int32)
+    for start, part in chunks(texts):
+        w = Words(part)
+        for h in features(w):
+            both = np.unique((w.doc.astype(U64) << U64(_SCREEN)) | (h >> U64(64 - _SCREEN)))
+            bucket, label = (both & U64((1 << _SCREEN) - 1)).astype(np.int64), y[start + (both >> U64(_SCREEN)).astype(np.int64)]
+            for i in (0, 1):
+                counts[i] += np.bincount(bucket[label == bool(i)], minlength=1 << _SCREEN).astype(np.int32)
+    n1, n0 = float(y.sum()), float((~y).sum())
+    good = np.zeros(1 << _SCREEN, dtype=bool)
+    score = _g_test(counts[1].astype(np.float64), counts[0].astype(np.float64), n1, n0)
+    best = np.argsort(-score, kind="stable")[: 2 * max_features]
+    good[best[score[best] > 0]] = True
+    del counts, score
+    hs, ss, sentence_doc = [], [], []
     n_sent = 0
     for start, part in chunks(texts):
         w, number, doc, _ = sentence_words(part)
         for h in features(w):
-            both = np.unique(np.stack([h, (number + n_sent).astype(U64)], axis=1).view([("h", U64), ("s", U64)]).ravel())
+            use = good[(h >> U64(64 - _SCREEN)).astype(np.int64)]
+            both = np.unique(np.stack([h[use], (number[use] + n_sent).astype(U64)], axis=1).view([("h", U64), ("s", U64)]).ravel())
             hs.append(both["h"])
             ss.append(both["s"].astype(np.int32))
         sentence_doc.append(doc + start)
         n_sent += len(doc)
     sdoc = np.concatenate(sentence_doc)
     h, s = np.concatenate(hs), np.concatenate(ss)
-    del hs, ss, ds
+    del hs, ss
+    if not len(h):
+        return nothing
     # screening: documents of either label that have each feature
     order = np.argsort(h, kind="stable")
     h, s = h[order], s[order]
@@ -114,11 +141,7 @@ def fit(texts: list[str], labels: np.ndarray, max_features: int = MAX_FEATURES,
     new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
     pos = np.add.reduceat((new & y[d]).astype(np.float64), start)
     neg = np.add.reduceat((new & ~y[d]).astype(np.float64), start)
-    n1, n0 = float(y.sum()), float((~y).sum())
-    e1, e0 = (pos + neg) * n1 / (n1 + n0), (pos + neg) * n0 / (n1 + n0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = np.where(pos > 0, pos * np.log(pos / e1), 0) + np.where(neg > 0, neg * np.log(neg / e0), 0)
-    g[pos + neg < 3] = 0
+    g = _g_test(pos, neg, n1, n0)
     kept = np.flatnonzero(g > 0)
     kept = np.sort(kept[np.argsort(-g[kept], kind="stable")[:max_features]])
     if not len(kept):
