@@ -116,7 +116,7 @@ def exact_top_k(df: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: s
         return ids[row], near, rank, score
 
     found = search_blocks(spark, built, search)
-    return found.select(F.col("id").alias("vec_id"), F.col("neighbor").alias("neighbor_id"), "rank", "score").distinct()
+    return found.select(F.col("id").alias("vec_id"), F.col("neighbor").alias("neighbor_id"), "rank", "score")
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,6 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = saved.toArrow()  # at most MAX_FEATURES + 1 rows
     h, w, bias = (np.asarray(rows.column(c)) for c in ("h", "w", "bias"))
     scratch.drop(saved)
+    if not len(bias):
+        return fit([], np.zeros(0, dtype=bool))
     return Model(h[~bias].view(U64), w[~bias], w[bias][0])
 
 
