@@ -148,7 +148,15 @@ def scan(index: Index, texts: list[str], min_coverage: float) -> list[tuple[int,
         if coverage >= min_coverage:
             out.append((doc, name, coverage, matched, int(w.start[start + a]), int(w.end[start + b - 1])))
         i = j
-    return out
+    return widest(out)
+
+
+def widest(found: list[tuple[int, int, float, int, int, int]]) -> list[tuple[int, int, float, int, int, int]]:
+    """Without matches that lie in another template's match of the same text, of more words and no less coverage."""
+    by: dict[int, list] = {}
+    for m in found:
+        by.setdefault(m[0], []).append(m)
+    return [m for m in found if not any(o[1] != m[1] and o[3] > m[3] and o[2] >= m[2] and o[4] <= m[4] and m[5] <= o[5] for o in by[m[0]])]
 
 
 def _scan(index: Index, min_coverage: float):
@@ -167,7 +175,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     """doc_id, license, coverage, matched_words, start_char, end_char: every place where a template is covered enough.
 
     coverage is matched words over the template's words. A document can have several matches, also of several
-    templates, and of one template at several places. Offsets count code points. NULL and
+    templates, and of one template at several places; a match within that of another template which matches more words and
+    is covered no less isn't reported ("CC BY 4.0" fits a notice of "CC BY-NC 4.0" but for one word). Offsets count code points. NULL and
     empty texts have none; repeated rows are reported each. A template needs 3 words or more.
     """
     index = Index(templates or TEMPLATES)
