@@ -8,6 +8,7 @@ to several letters are looked up, only in texts that hold one.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -39,20 +40,49 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
     return marked, "".join(c for c, _, _ in one) + "\0" + "".join(b for _, b, _ in one), many
 
 
+def _absent(code: int) -> bool:
+    """Whether a character can't occur in lower-case text, or is unassigned."""
+    return chr(code).lower() != chr(code) or unicodedata.category(chr(code)) == "Cn"
+
+
+@cache
 def _class(chars: str) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in chars) + "]"
+    """A regular expression's class of chars in few ranges, which may span characters that can't occur: Java tests ranges one by one."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if ranges and all(map(_absent, range(ranges[-1][1] + 1, c))):
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Beyond this code point the letters of most European languages end; texts within it need small tables only.
+_NEAR = 0x250
 
 
 def decomposed(text: Column) -> Column:
     """Lower-case text in compatibility decomposition, with marks as spaces."""
     marked, pairs, many = _decompositions()
     src, dst = pairs.split("\0")
-    plain = F.translate(F.regexp_replace(text, f"({_class(marked)})", "$1 "), src, dst)
-    table = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
-    chars = F.transform(F.split(text, ""), lambda c: F.coalesce(table[c], c))
-    special = F.translate(F.regexp_replace(F.concat_ws("", chars), f"({_class(marked)})", "$1 "), src, dst)
-    # most texts are ASCII and pass as they are
-    return F.when(~text.rlike("[^\\x00-\\x7F]"), text).when(text.rlike(_class("".join(many))), special).otherwise(plain)
+
+    def simple(x: Column, most: int = 0x10000) -> Column:
+        kept = [(s, d) for s, d in zip(src, dst, strict=True) if ord(s) < most]
+        return F.translate(F.regexp_replace(x, f"({_class(''.join(c for c in marked if ord(c) < most))})", "$1 "), "".join(s for s, _ in kept), "".join(d for _, d in kept))
+
+    def far(x: Column) -> Column:
+        # one literal that is folded into a map
+        table = F.str_to_map(F.lit("\2".join(f"{k}\1{v}" for k, v in many.items())), F.lit("\2"), F.lit("\1"))
+        chars = F.transform(F.split(x, ""), lambda c: F.when(c.rlike(_class("".join(many))), F.coalesce(table[c], c)).otherwise(c))
+        return F.when(x.rlike(_class("".join(many))), simple(F.concat_ws("", chars))).otherwise(simple(x))
+
+    near_many = _class("".join(c for c in many if ord(c) < _NEAR))
+    return F.when(~text.rlike("[^\\x00-\\x7F]"), text).when(~text.rlike(f"[^\\x00-\\x{{{_NEAR - 1:X}}}]|{near_many}"), simple(text, _NEAR)).otherwise(far(text))
 
 
 def words(text: Column) -> Column:
@@ -70,9 +100,9 @@ def clean_english(text: Column, keep_numbers: bool = False, stopwords: tuple[str
 
     Emoji become the word emoji. NULL gives NULL and an empty text no words.
     """
-    t = F.when(has_emoji(text), F.regexp_replace(text, "[\\x{10000}-\\x{10FFFF}]", " emoji ")).otherwise(text)
+    plain = F.lower(F.regexp_replace(text, "[\\x{10000}-\\x{10FFFF}]", " emoji "))
     kept = "\\p{Ll}\\p{Nd}" if keep_numbers else "\\p{Ll}"
-    t = F.regexp_replace(decomposed(F.lower(t)), f"[^{kept}]", " ")
+    t = F.regexp_replace(let(plain, decomposed), f"[^{kept}]+", " ")
     return F.filter(words(t), lambda w: ~w.rlike("^x{2,}$") & ~w.isin(*stopwords))
 
 
