@@ -31,6 +31,8 @@ L2 = 0.02
 _ENDS = np.array([ord(c) for c in ".!?\n。！？…"], dtype=np.uint32)
 _BITS = 20
 _SCREEN = 22
+#: Entries of the training matrix that are taken at a time.
+_FIT_BLOCK = 1 << 18
 
 
 def sentence_words(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,61 +112,82 @@ def fit(texts: list[str], labels: np.ndarray, max_features: int = MAX_FEATURES,
             both = np.unique((w.doc.astype(U64) << U64(_SCREEN)) | (h >> U64(64 - _SCREEN)))
             bucket, label = (both & U64((1 << _SCREEN) - 1)).astype(np.int64), y[start + (both >> U64(_SCREEN)).astype(np.int64)]
             for i in (0, 1):
-                counts[i] += np.bincount(bucket[label == bool(i)], minlength=1 << _SCREEN).astype(np.int32)
+                own, n = np.unique(bucket[label == bool(i)], return_counts=True)
+                counts[i, own] += n.astype(np.int32)
     n1, n0 = float(y.sum()), float((~y).sum())
     good = np.zeros(1 << _SCREEN, dtype=bool)
-    score = _g_test(counts[1].astype(np.float64), counts[0].astype(np.float64), n1, n0)
+    seen = np.flatnonzero(counts[0] + counts[1] >= 3)
+    score = _g_test(counts[1, seen].astype(np.float64), counts[0, seen].astype(np.float64), n1, n0)
     best = np.argsort(-score, kind="stable")[: 2 * max_features]
-    good[best[score[best] > 0]] = True
-    del counts, score
-    hs, ss, sentence_doc = [], [], []
-    n_sent = 0
+    good[seen[best[score[best] > 0]]] = True
+    del counts, score, seen
+    # a second one counts those of each feature in a good bucket, and keeps the best features
+    tallies = []
     for start, part in chunks(texts):
-        w, number, doc, _ = sentence_words(part)
+        w = Words(part)
         for h in features(w):
-            use = good[(h >> U64(64 - _SCREEN)).astype(np.int64)]
-            both = np.unique(np.stack([h[use], (number[use] + n_sent).astype(U64)], axis=1).view([("h", U64), ("s", U64)]).ravel())
-            hs.append(both["h"])
-            ss.append(both["s"].astype(np.int32))
-        sentence_doc.append(doc + start)
-        n_sent += len(doc)
-    sdoc = np.concatenate(sentence_doc)
-    h, s = np.concatenate(hs), np.concatenate(ss)
-    del hs, ss
-    if not len(h):
+            use = np.flatnonzero(good[(h >> U64(64 - _SCREEN)).astype(np.int64)])
+            if not len(use):
+                continue
+            h, d = h[use], w.doc[use] + start
+            order = np.argsort(h, kind="stable")
+            h, d = h[order], d[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
+            h, label = h[new], y[d[new]]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            tallies.append((h[first], np.add.reduceat(label.astype(np.int32), first), np.add.reduceat((~label).astype(np.int32), first)))
+    if not tallies:
         return nothing
-    # screening: documents of either label that have each feature
-    order = np.argsort(h, kind="stable")
-    h, s = h[order], s[order]
-    d = sdoc[s]
-    uniq, start = np.unique(h, return_index=True)
-    new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
-    pos = np.add.reduceat((new & y[d]).astype(np.float64), start)
-    neg = np.add.reduceat((new & ~y[d]).astype(np.float64), start)
+    uniq, at = np.unique(np.concatenate([x[0] for x in tallies]), return_inverse=True)
+    pos, neg = (np.bincount(at, weights=np.concatenate([x[i] for x in tallies]), minlength=len(uniq)) for i in (1, 2))
+    del tallies, at
     g = _g_test(pos, neg, n1, n0)
     kept = np.flatnonzero(g > 0)
     kept = np.sort(kept[np.argsort(-g[kept], kind="stable")[:max_features]])
     if not len(kept):
         return nothing
-    index = np.full(len(uniq), -1, dtype=np.int64)
-    index[kept] = np.arange(len(kept))
-    f = np.repeat(index, np.diff(np.append(start, len(h))))
-    use = f >= 0
-    f, s = f[use], s[use]
+    table = Model(uniq[kept], np.zeros(len(kept)), 0.0)
+    # a third one lists each sentence's features, in order of the sentences
+    fs, ss, sentence_doc = [], [], []
+    n_sent = 0
+    for start, part in chunks(texts):
+        w, number, doc, _ = sentence_words(part)
+        pairs = []
+        for h in features(w):
+            place, feature = table.lookup(h)
+            pairs.append(number[place] * len(kept) + feature)
+        both = np.unique(np.concatenate(pairs))
+        fs.append((both % len(kept)).astype(np.int32))
+        ss.append((both // len(kept) + n_sent).astype(np.int32))
+        sentence_doc.append((doc + start).astype(np.int32))
+        n_sent += len(doc)
+    sdoc = np.concatenate(sentence_doc)
+    f = np.concatenate(fs)
+    del fs
+    s = np.concatenate(ss)
+    del ss, sentence_doc
+    blocks = [slice(i, i + _FIT_BLOCK) for i in range(0, len(f), _FIT_BLOCK)]
     w, b = np.zeros(len(kept)), -6.0
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for t in range(1, rounds + 1):
-        z = b + np.bincount(s, weights=w[f], minlength=n_sent)
+        z = np.full(n_sent, b)
+        for k in blocks:
+            lo = s[k.start]
+            part = np.bincount(s[k] - lo, weights=w[f[k]])
+            z[lo : lo + len(part)] += part
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         total = np.bincount(sdoc, weights=np.logaddexp(0, z), minlength=len(y))
         pull = np.where(y, -1 / np.expm1(np.clip(total, 1e-9, 50)), 1.0)
         dz = p * pull[sdoc]
-        grad = np.append(np.bincount(f, weights=dz[s], minlength=len(kept)) + l2 * w, dz.sum())
+        slope = l2 * w
+        for k in blocks:
+            slope += np.bincount(f[k], weights=dz[s[k]], minlength=len(kept))
+        grad = np.append(slope, dz.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) * min(1.0, 2 * (1 - t / (rounds + 1)))
         w -= step[:-1]
         b -= step[-1]
-    return Model(uniq[kept], w, b)
+    return Model(table.hashes, w, b)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = SAMPLE_TOXIC, most_clean: int = SAMPLE_CLEAN) -> Model:
