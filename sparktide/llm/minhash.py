@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, pick, restore, small, with_keys
-from .textkernel import U64, Words, chunks, constants, mix64
+from .textkernel import U64, Words, chunks, constants, lean, mix64, text_chunks
 
 SLOTS = 160
 ROWS_PER_BAND = 4
@@ -85,7 +85,7 @@ def _signatures(m: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_hash, out_sig, has = [], [], []
-            for _, texts in chunks(batch.column("__text").to_pylist()):
+            for _, texts in text_chunks(batch.column("__text")):
                 w = Words(texts)
                 h, off = shingles(w, k)
                 sig = superminhash(h, off, m)
@@ -102,7 +102,7 @@ def _signatures(m: int, k: int):
                 names=["id", "key", "content", "sig"],
             ).filter(pa.array(keep))
 
-    return run
+    return lean(run)
 
 
 def _bands(m: int, r: int):
@@ -178,7 +178,7 @@ def _propose(m: int, least: float):
         if hold[0]:
             yield emit(np.array(hold[0]), np.array(hold[1]), hold[2])
 
-    return run
+    return lean(run)
 
 
 def _verify(k: int, threshold: float):
@@ -198,7 +198,7 @@ def _verify(k: int, threshold: float):
                 keep.append(both >= threshold * (len(x) + len(y) - both) and both > 0)
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return lean(run)
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, slots: int = SLOTS, rows_per_band: int = ROWS_PER_BAND, shingle_words: int = SHINGLE_WORDS) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, restore, small, with_keys
-from .textkernel import Words, chunks, sliding_argmin
+from .textkernel import Words, chunks, lean, sliding_argmin, text_chunks
 
 WINDOW = 50
 GRAM = 25
@@ -39,7 +39,7 @@ def _fingerprints(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = np.asarray(batch.column("__id")), np.asarray(batch.column("__key"))
-            for first, texts in chunks(batch.column("__text").to_pylist()):
+            for first, texts in text_chunks(batch.column("__text")):
                 w = Words(texts)
                 n = np.diff(w.off)
                 g, _ = w.ngrams(gram)
@@ -55,7 +55,7 @@ def _fingerprints(window: int, gram: int):
                 pos = np.concatenate([at - w.off[:-1][w.doc[at]], np.full(len(long), -1)])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[first + doc]), pa.array(keys[first + doc]), pa.array(pos.astype(np.int32))], names=["h", "id", "key", "pos"])
 
-    return run
+    return lean(run)
 
 
 def _windows(window: int, gram: int):
@@ -63,7 +63,7 @@ def _windows(window: int, gram: int):
         for batch in batches:
             ids, keys, ages = (np.asarray(batch.column(c)) for c in ("id", "key", "age"))
             places = batch.column("places").to_pylist()
-            for first, texts in chunks(batch.column("text").to_pylist()):
+            for first, texts in text_chunks(batch.column("text")):
                 w = Words(texts)
                 h1, _ = w.ngrams(window, 1)
                 h2, _ = w.ngrams(window, 2)
@@ -83,7 +83,7 @@ def _windows(window: int, gram: int):
                     names=["w1", "w2", "age", "id", "key", "pos"],
                 )
 
-    return run
+    return lean(run)
 
 
 def merged(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -302,7 +302,7 @@ def _cut(text_at: int):
             kept = batch.set_column(place, batch.schema.field(place), pa.array(new, batch.schema.field(place).type))
             yield kept.select([c for c in kept.schema.names if c.startswith("__p")]).filter(pa.array([x is not None for x in new], pa.bool_()))
 
-    return run
+    return lean(run)
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES, length_col: str | None = "n_chars") -> DataFrame:

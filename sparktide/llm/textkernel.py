@@ -7,10 +7,13 @@ A word is a maximal run of letters, digits and combining marks, compared in lowe
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _BASE = 0xD6E8FEB86659FD93
@@ -142,6 +145,33 @@ def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[
         yield start, part
 
 
+def text_chunks(column: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """chunks of a column of texts, of which one run at a time is turned into Python strings."""
+    size = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64) + 1
+    ends = np.cumsum(size)
+    start = 0
+    while start < len(column):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield start, [t or "" for t in column.slice(start, stop - start).to_pylist()]
+        start = stop
+
+
+def lean(run: Callable) -> Callable:
+    """An Arrow batch function that gives unused memory back at its end: workers live on between tasks."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
     """Index of the leftmost minimum of each window of w values, by doubling."""
     n = len(x) - w + 1

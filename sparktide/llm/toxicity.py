@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, pick
-from .textkernel import U64, Words, chunks, mix64
+from .textkernel import U64, Words, chunks, lean, mix64, text_chunks
 
 #: Most labelled documents of either label that the classifier is fitted on.
 SAMPLE_TOXIC = 3000
@@ -157,7 +157,7 @@ def fit(texts: list[str], labels: np.ndarray, max_features: int = MAX_FEATURES,
             place, feature = table.lookup(h)
             pairs.append(number[place] * len(kept) + feature)
         both = np.unique(np.concatenate(pairs))
-        fs.append((both % len(kept)).astype(np.int32))
+        fs.append((both % len(kept)).astype(np.min_scalar_type(len(kept))))
         ss.append((both // len(kept) + n_sent).astype(np.int32))
         sentence_doc.append((doc + start).astype(np.int32))
         n_sent += len(doc)
@@ -207,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model = fit([r[1] for r in rows], np.array([r[2] for r in rows], dtype=bool))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(model.hashes, U64(0)).view(np.int64)), pa.array(np.append(model.weights, model.bias)), pa.array([False] * len(model.hashes) + [True])], names=["h", "w", "bias"])
 
-    saved = scratch.save(texts.repartition(1).mapInArrow(run, "h bigint, w double, bias boolean"))
+    saved = scratch.save(texts.repartition(1).mapInArrow(lean(run), "h bigint, w double, bias boolean"))
     rows = saved.toArrow()  # at most MAX_FEATURES + 1 rows
     h, w, bias = (np.asarray(rows.column(c)) for c in ("h", "w", "bias"))
     scratch.drop(saved)
@@ -223,7 +223,7 @@ def _locate(model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id")
-            for start, texts in chunks(batch.column("text").to_pylist()):
+            for start, texts in text_chunks(batch.column("text")):
                 toxicity, w, doc, first, p = model.value.score(texts)
                 bad = np.flatnonzero(toxicity >= threshold)
                 if not len(bad):
@@ -240,7 +240,7 @@ def _locate(model, threshold: float):
                 last = np.append(first[1:], len(w.hash))[s] - 1
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(start + doc[s])), pa.array(toxicity[doc[s]]), pa.array(n.astype(np.int32)), pa.array(w.start[first[s]].astype(np.int32)), pa.array(w.end[last].astype(np.int32)), pa.array(p[s])], names=["id", "toxicity", "sentence", "start_char", "end_char", "score"])
 
-    return run
+    return lean(run)
 
 
 def toxic_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -259,10 +259,10 @@ def toxic_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 def _keep(model, text_at: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [model.value.score(t)[0] < threshold for _, t in chunks(batch.column(text_at).to_pylist())]
+            keep = [model.value.score(t)[0] < threshold for _, t in text_chunks(batch.column(text_at))]
             yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
 
-    return run
+    return lean(run)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
