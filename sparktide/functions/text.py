@@ -95,6 +95,17 @@ def has_emoji(text: Column) -> Column:
     return text.rlike("[\\x{10000}-\\x{10FFFF}]")
 
 
+def encode_emoji(text: Column) -> Column:
+    """Each emoji as a word of its own, emoji and its bytes in hexadecimal, which cleaning with digits keeps."""
+    chars = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), 0), lambda c: F.when(has_emoji(c), F.concat(F.lit(" emoji"), F.lower(F.hex(c)), F.lit(" "))).otherwise(c))
+    return F.when(has_emoji(text), F.array_join(chars, "")).otherwise(text)
+
+
+def decode_emoji(word: Column) -> Column:
+    """The emoji of a word that encode_emoji made; other words as they are."""
+    return F.when(word.rlike("^emojif0[0-9a-f]{6}$"), F.decode(F.unhex(F.substring(word, 6, 8)), "UTF-8")).otherwise(word)
+
+
 def clean_english(text: Column, keep_numbers: bool = False, stopwords: tuple[str, ...] = ENGLISH) -> Column:
     """Words of an English text: lower case, decomposed, letters only (digits too with keep_numbers), without runs of x and stop words.
 

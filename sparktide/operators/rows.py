@@ -93,3 +93,22 @@ def drop_far_points(df: DataFrame, x: str = "x", y: str = "y", share: float = 0.
     d = df.crossJoin(F.broadcast(mid)).withColumn("__d", F.sqrt(F.pow(F.col(x) - F.col("__mx"), F.lit(2)) + F.pow(F.col(y) - F.col("__my"), F.lit(2))))
     far = d.agg(F.percentile("__d", F.lit(share)).alias("__far"))
     return d.crossJoin(F.broadcast(far)).where((F.col("__n") <= least) | (F.col("__d") <= F.col("__far"))).drop("__mx", "__my", "__n", "__d", "__far")
+
+
+def grid_sample(df: DataFrame, n: int, x: str = "x", y: str = "y", group: str = "topic_id", order: str = "doc_id") -> DataFrame:
+    """About n points that keep the picture: of each cell of a sqrt(2n) by sqrt(2n) grid and each group its share, one at least.
+
+    Which ones is decided by a hash of `order`, so the sample is the same in every run. All points if there are n or fewer.
+    """
+    side = max(1, round((2 * n) ** 0.5))
+    ends = df.agg(*[f(c).alias(f"__{k}_{c}") for c in (x, y) for k, f in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias("__all"))
+
+    def cell(c: str) -> Column:
+        lo, hi = F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
+        return F.least(F.floor((F.col(c) - lo) / F.when(hi > lo, hi - lo).otherwise(1.0) * side), F.lit(side - 1))
+
+    d = df.crossJoin(F.broadcast(ends)).withColumn("__cx", cell(x)).withColumn("__cy", cell(y))
+    by = Window.partitionBy("__cx", "__cy", group)
+    d = d.withColumn("__n", F.count(F.lit(1)).over(by)).withColumn("__r", F.row_number().over(by.orderBy(F.xxhash64(order), order)))
+    kept = d.where((F.col("__all") <= n) | (F.col("__r") <= F.greatest(F.lit(1), F.round(F.col("__n") * n / F.col("__all")))))
+    return kept.select(*[F.col(c) for c in df.columns])
