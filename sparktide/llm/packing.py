@@ -115,8 +115,10 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int, slack
                     change = int(size[out].sum() - size[back].sum())
                     fill[a] -= change
                     fill[b] += change
-                    pool = _Pool(size, {c: work[c] for c in under if work[c]})
-                    every = np.array([c for c in under if work[c]])
+                    # bins emptied earlier in the round are no longer in work
+                    left = [c for c in under if work.get(c)]
+                    pool = _Pool(size, {c: work[c] for c in left})
+                    every = np.array(left)
                     step = moved = True
             if not work[a]:
                 del work[a]

@@ -54,6 +54,17 @@ def test_swaps_empty_a_bin_that_best_fit_leaves():
     assert len(first) >= len(last) == fewest(lengths, 100)
 
 
+@pytest.mark.parametrize("times", [1, 3])
+def test_search_goes_on_after_a_bin_was_emptied(times):
+    # best fit decreasing takes 11 bins where 9 do
+    lengths = [51] * 6 * times + [27] * 6 * times + [26] * 6 * times + [23] * 12 * times
+    first = packing.best_fit(lengths, 100)
+    last = packing.local_search(lengths, first, 100)
+    assert len(first) == 11 * times and len(last) <= len(first) - 2
+    assert sorted(itertools.chain(*last)) == list(range(len(lengths)))
+    assert all(0 < sum(lengths[i] for i in b) <= 100 for b in last)
+
+
 def test_near_the_optimum_on_small_instances():
     rng = random.Random(3)
     for _ in range(12):
