@@ -25,6 +25,8 @@ SHINGLE_WORDS = 3
 THRESHOLD = 0.5
 #: A pair is verified exactly if its estimate is at most this much below the threshold.
 MARGIN = 0.15
+#: Members of a bucket on each side of a tile, the unit in which a bucket's further pairs are verified.
+TILE = 64
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -143,70 +145,130 @@ def spanning_pairs(sig: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def _propose(m: int, least: float):
-    def emit(bucket: np.ndarray, key: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
-        sig = np.frombuffer(b"".join(raw), dtype=np.uint16).reshape(-1, m)
-        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-        a, b = [], []
-        sizes = np.diff(cuts)
-        two = cuts[:-1][sizes == 2]
-        good = two[(sig[two] == sig[two + 1]).mean(axis=1) >= least]
-        a.append(key[good])
-        b.append(key[good + 1])
-        for i in np.flatnonzero(sizes > 2):
-            s = cuts[i]
-            pairs = np.array(spanning_pairs(sig[s : cuts[i + 1]], least), dtype=np.int64).reshape(-1, 2)
-            a.append(key[s + pairs[:, 0]])
-            b.append(key[s + pairs[:, 1]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+def _by_group(emit, *columns: str):
+    """Arrow function that passes whole groups of rows to emit, as lists; rows come sorted by the first column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold: tuple[list, list, list] = ([], [], [])
+        hold: tuple[list, ...] = tuple([] for _ in columns)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for have, c in zip(hold, ("bucket", "key", "sig"), strict=True):
+            for have, c in zip(hold, columns, strict=True):
                 have.extend(batch.column(c).to_pylist())
             last = hold[0][-1]
             cut = len(hold[0])
             while cut and hold[0][cut - 1] == last:
                 cut -= 1
             if cut:
-                yield emit(np.array(hold[0][:cut]), np.array(hold[1][:cut]), hold[2][:cut])
+                yield from emit(*[x[:cut] for x in hold])
                 hold = tuple(x[cut:] for x in hold)
         if hold[0]:
-            yield emit(np.array(hold[0]), np.array(hold[1]), hold[2])
+            yield from emit(*hold)
 
     return lean(run)
 
 
-def _verify(k: int, threshold: float):
-    def sets(texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for _, part in chunks(texts):
-            h, off = shingles(Words(part), k)
-            out += [np.unique(h[off[i] : off[i + 1]]) for i in range(len(part))]
-        return out
+def _cuts(group: np.ndarray) -> np.ndarray:
+    """Where the groups of a sorted array start, and its length."""
+    return np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+
 
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+
+
+def _propose(m: int, least: float):
+    def emit(bucket: list, key: list, raw: list[bytes]) -> Iterator[pa.RecordBatch]:
+        bucket, key = np.array(bucket), np.array(key)
+        sig = np.frombuffer(b"".join(raw), dtype=np.uint16).reshape(-1, m)
+        cuts = _cuts(bucket)
+        a, b = [], []
+        sizes = np.diff(cuts)
+        two = cuts[:-1][sizes == 2]
+        good = two[(sig[two] == sig[two + 1]).mean(axis=1) >= least]
+        a.append(key[good])
+        b.append(key[good + 1])
+        for i in np.flatnonzero(sizes > 2):
+            s = cuts[i]
+            pairs = np.array(spanning_pairs(sig[s : cuts[i + 1]], least), dtype=np.int64).reshape(-1, 2)
+            a.append(key[s + pairs[:, 0]])
+            b.append(key[s + pairs[:, 1]])
+        yield _edges(np.concatenate(a), np.concatenate(b))
+
+    return _by_group(emit, "bucket", "key", "sig")
+
+
+def _unjoined(m: int, least: float, tile: int):
+    """All pairs of each bucket that the estimate admits and that no verified edges join yet, with the tile of each."""
+
+    def emit(bucket: list, key: list, label: list, raw: list[bytes]) -> Iterator[pa.RecordBatch]:
+        bucket, key, label = np.array(bucket), np.array(key), np.array(label)
+        sig = np.frombuffer(b"".join(raw), dtype=np.uint16).reshape(-1, m)
+        cuts = _cuts(bucket)
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            for i in range(s, e, tile):
+                for j in range(i, e, tile):
+                    x, y = slice(i, min(i + tile, e)), slice(j, min(j + tile, e))
+                    open_ = (label[x, None] != label[None, y]) & ((sig[x, None] == sig[None, y]).mean(axis=2) >= least)
+                    a, b = np.nonzero(np.triu(open_, 1) if i == j else open_)
+                    if not len(a):
+                        continue
+                    place = np.array([bucket[s], (i - s) // tile, (j - s) // tile], dtype=np.int64).view(U64)
+                    name = mix64(mix64(place[:1] + place[1:2] * U64(_GOLDEN)) + place[2:] * U64(_GOLDEN)).view(np.int64)
+                    pairs = _edges(key[i + a], key[j + b])
+                    yield pa.RecordBatch.from_arrays([*pairs.columns, pa.array(np.repeat(name, len(a)))], names=["u", "v", "tile"])
+
+    return _by_group(emit, "bucket", "key", "label", "sig")
+
+
+def _shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
+    out = []
+    for _, part in chunks(texts):
+        h, off = shingles(Words(part), k)
+        out += [np.unique(h[off[i] : off[i + 1]]) for i in range(len(part))]
+    return out
+
+
+def _similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= threshold * (len(x) + len(y) - both) and both > 0
+
+
+def _verify(k: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = sets(batch.column("a").to_pylist()), sets(batch.column("b").to_pylist())
-            keep = []
-            for x, y in zip(a, b, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= threshold * (len(x) + len(y) - both) and both > 0)
+            a, b = _shingle_sets(batch.column("a").to_pylist(), k), _shingle_sets(batch.column("b").to_pylist(), k)
+            keep = [_similar(x, y, threshold) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return lean(run)
 
 
+def _verify_tiles(k: int, threshold: float):
+    """As _verify, for rows of a tile, key, text and the keys of the same tile to compare it with."""
+
+    def emit(tile: list, key: list, text: list[str], others: list[list[int]]) -> Iterator[pa.RecordBatch]:
+        cuts = _cuts(np.array(tile))
+        sets = _shingle_sets(text, k)
+        u, v = [], []
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            at = {key[i]: i for i in range(s, e)}
+            for i in range(s, e):
+                for o in others[i]:
+                    if _similar(sets[i], sets[at[o]], threshold):
+                        u.append(key[i])
+                        v.append(o)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return _by_group(emit, "tile", "key", "text", "others")
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, slots: int = SLOTS, rows_per_band: int = ROWS_PER_BAND, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """Documents that have near copies: key, id, root (key of the one that stays), root_id, size.
 
     Two documents are joined if the exact Jaccard similarity of their sets of shingle_words-word
-    shingles is at least `threshold` and one band of their signatures agrees; groups are the
-    connected components, and the member with the least id stays. Texts that agree in
+    shingles is at least `threshold` and one band of their signatures agrees, unless the share of equal slots is more than
+    MARGIN below it; groups are the connected components, and the member with the least id stays. Texts that agree in
     their words are joined whatever their length. NULL and empty texts, and those without a word,
     have no copies. Rows that agree in id and text are one document.
     """
@@ -229,15 +291,34 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = member.join(small(picked, 2 * slots + 40), "key").repartition("bucket").sortWithinPartitions("bucket", "key")
     proposed = rows.select("bucket", "key", "sig").mapInArrow(_propose(slots, threshold - MARGIN), "u bigint, v bigint").distinct()
     proposed = scratch.save(proposed)
-    scratch.drop(buckets, picked)
     ends = proposed.select(F.explode(F.array("u", "v")).alias("key")).distinct()
     ends = scratch.save(ends)
     texts = base.select(F.col("__key").alias("key"), F.col("__text").alias("text")).join(small(ends, 24), "key", "left_semi").dropDuplicates(["key"])
     texts = scratch.save(texts)
     pairs = proposed.join(texts.select(F.col("key").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("key").alias("v"), F.col("text").alias("b")), "v")
     sure = scratch.save(pairs.select("u", "v", "a", "b").mapInArrow(_verify(shingle_words, threshold), "u bigint, v bigint"))
-    scratch.drop(texts, ends, proposed, wanted)
-    linked = components(exact.unionByName(sure), scratch)
+    # a failed edge may have stood in for pairs of its bucket that the tree then left out
+    failed = scratch.save(proposed.join(sure, ["u", "v"], "left_anti"))
+    if not failed.isEmpty():
+        joined = components(sure, scratch).select(F.col("u").alias("key"), F.col("v").alias("label"))
+        fails = scratch.save(failed.select(F.explode(F.array("u", "v")).alias("key")).distinct().withColumn("fails", F.lit(1)))
+        labelled = member.join(small(joined, 40), "key", "left").join(small(fails, 24), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"), "fails")
+        labelled = scratch.save(labelled)
+        torn = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.count("fails").alias("bad"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 2 AND bad > 1 AND lo <> hi").select("bucket")
+        again = labelled.join(small(scratch.save(torn), 24), "bucket", "left_semi").join(small(picked, 2 * slots + 40), "key").repartition("bucket").sortWithinPartitions("bucket", "key")
+        more = again.select("bucket", "key", "label", "sig").mapInArrow(_unjoined(slots, threshold - MARGIN, TILE), "u bigint, v bigint, tile bigint")
+        more = scratch.save(more.groupBy("u", "v").agg(F.min("tile").alias("tile")).join(failed, ["u", "v"], "left_anti"))
+        sides = more.select("tile", F.col("u").alias("key"), F.col("v").alias("other")).unionByName(more.select("tile", F.col("v").alias("key"), F.lit(None).cast("bigint").alias("other")))
+        sides = scratch.save(sides.groupBy("tile", "key").agg(F.collect_list("other").alias("others")))
+        needed = scratch.save(sides.select("key").distinct())
+        bodies = scratch.save(base.select(F.col("__key").alias("key"), F.col("__text").alias("text")).join(small(needed, 24), "key", "left_semi").dropDuplicates(["key"]))
+        tiles = sides.join(bodies, "key").repartition("tile").sortWithinPartitions("tile", "key")
+        found = scratch.save(tiles.select("tile", "key", "text", "others").mapInArrow(_verify_tiles(shingle_words, threshold), "u bigint, v bigint"))
+        scratch.drop(fails, labelled, more, sides, needed, bodies)
+        linked = components(exact.unionByName(sure).unionByName(found), scratch)
+    else:
+        linked = components(exact.unionByName(sure), scratch)
+    scratch.drop(buckets, picked, texts, ends, proposed, wanted, failed)
     nodes = linked.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(linked.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
     ids = sig.select("id", "key").join(small(scratch.save(nodes), 40), "key").distinct()
     lead = ids.groupBy("root").agg(F.min(F.struct("id", "key")).alias("least"), F.count("*").alias("size"))

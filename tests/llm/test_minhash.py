@@ -1,10 +1,14 @@
+import random
+
 import numpy as np
+import pytest
 
 from sparktide.llm import minhash
 from sparktide.llm.common import Scratch, components, union_find
 from sparktide.llm.textkernel import U64, Words, mix64
 
-from .fixtures import SCHEMA, corpus, near_groups
+from .fixtures import SCHEMA, components as joined
+from .fixtures import corpus, invented, near_groups, shingle_set
 
 
 def sequential(h, m):
@@ -67,6 +71,36 @@ def test_groups_equal_all_pairs(spark):
     assert all(len(g) == k[1] for k, g in groups.items())
 
 
+def template_family(n=150, planted=30):
+    """Texts that share a passage, J of about 0.4; the first `planted` pairs share more, J of 0.5 to 0.6."""
+    rng = random.Random(5)
+    passage = invented(rng, 80, 10_000)
+    own = [invented(rng, 56, 10_000).split() for _ in range(n)]
+    for i in range(planted):
+        own[n - 1 - i][: 18 + i % 6] = own[i][: 18 + i % 6]
+    return [f"{passage} {' '.join(w)}" for w in own]
+
+
+@pytest.mark.parametrize("tile", [64, 7])
+def test_pairs_within_a_template_family_are_found(spark, monkeypatch, tile):
+    monkeypatch.setattr(minhash, "TILE", tile, raising=False)
+    texts = template_family()
+    w = Words(texts)
+    sig = (mix64(minhash.superminhash(*minhash.shingles(w)).astype(U64)) >> U64(48)).astype(np.uint16)
+    sets = [shingle_set(t) for t in texts]
+    edges = []
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            equal = sig[i] == sig[j]
+            if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j]) and equal.reshape(-1, minhash.ROWS_PER_BAND).all(axis=1).any() and equal.mean() >= minhash.THRESHOLD - minhash.MARGIN:
+                edges.append((i, j))
+    assert len(edges) >= 25
+    want = joined(edges, range(len(texts)))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.group_id for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i: got.get(i, i) for i in range(len(texts))} == want
+
+
 def test_drop_keeps_one_of_each_group_and_all_columns(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA)
