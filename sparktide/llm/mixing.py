@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,11 @@ from .common import Scratch, pick, small
 SEED = 17
 #: Target share of a source without given weights: its tokens to this power, normalized.
 ALPHA = 0.5
-#: Quantiles above this many copies are cut off; the rate must be well below.
-MAX_RATE = 64.0
+#: Up to this rate the distribution is summed from 0, beyond it outwards from its mode.
+PLAIN_RATE = 64.0
+#: A mean rate beyond this is refused: one document's copy numbers are an array in memory. With the default budget and
+#: shares it takes a source 2.8e14 times smaller than the whole.
+MAX_COPIES = float(1 << 24)
 _UNIT = float(1 << 52)
 
 
@@ -40,6 +44,28 @@ def poisson_cdf(rate: float) -> list[float]:
     return out
 
 
+def poisson_table(rate: float) -> tuple[int, list[float]]:
+    """First k and P(N <= k) from there on; what lies before it sums to less than the smallest step of unit_hash.
+
+    Terms relative to the mode's, normalized by their sum, neither underflow nor lose digits at any rate.
+    """
+    if rate <= PLAIN_RATE:
+        return 0, poisson_cdf(rate)
+    mode = int(rate)
+    down, up = [1.0], []
+    k = mode
+    while k > 0 and down[-1] > 1e-24:
+        down.append(down[-1] * k / rate)
+        k -= 1
+    p, i = rate / (mode + 1), mode + 1
+    while p > 1e-24:
+        up.append(p)
+        i += 1
+        p *= rate / i
+    total = np.cumsum(down[::-1] + up)
+    return k, (total / total[-1]).tolist()
+
+
 def source_tokens(docs: DataFrame, source_col: str, text_col: str) -> DataFrame:
     """(source, tokens): characters of each source; NULL is a source of its own."""
     d = pick(docs, source=source_col, text=text_col)
@@ -70,27 +96,28 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
     All columns stay. copy_col, if given, numbers the copies from 1 and replaces a column of that name.
     The count hashes the id, and the text's MD5 if the id is NULL; rows that agree in id are drawn alike. NULL sources are a
-    source of their own. Documents of NULL or empty text take part at their source's rate. A rate above
-    MAX_RATE raises ValueError. An empty table gives an empty one.
+    source of their own. Documents of NULL or empty text take part at their source's rate. A mean rate above
+    MAX_COPIES raises ValueError. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     rates = scratch.save(source_rates(source_tokens(docs, source_col, text_col), weights, budget, alpha))
     # the quantile table of each source, built next to its rate
     top = rates.agg(F.max("rate")).first()[0] or 0.0
-    if top > MAX_RATE:
+    if top > MAX_COPIES:
         raise ValueError(f"a source would be repeated {top:.0f} times on average; lower its weight or the budget")
-    table = rates.mapInPandas(_with_cdf, "rate_source string, cdf array<double>") if dict(docs.dtypes).get(source_col) == "string" else None
+    table = rates.mapInPandas(_with_cdf, "rate_source string, skipped bigint, cdf array<double>") if dict(docs.dtypes).get(source_col) == "string" else None
     if table is None:
         raise ValueError(f"{source_col!r} must be a string column")
-    table = small(scratch.save(table), 400)
+    table = scratch.save(table)
+    table = small(table, 320 + 8 * math.ceil(table.agg(F.avg(F.size("cdf"))).first()[0] or 0.0))
     names = docs.columns
     d = docs.toDF(*[f"__p{i}" for i in range(len(names))])
     at = {n: F.col(f"__p{names.index(n)}") for n in (id_col, text_col, source_col)}
     key = F.coalesce(at[id_col].cast("string"), F.md5(F.coalesce(at[text_col], F.lit("")).cast("binary")))
     drawn = d.withColumn("__key", key).join(table, at[source_col].eqNullSafe(F.col("rate_source")))
     u = unit_hash(F.lit(str(seed)), F.col("__key"))
-    copies = drawn.withColumn("__u", u).withColumn("__n", F.size(F.filter("cdf", lambda c: c <= F.col("__u")))).where("__n > 0")
+    copies = drawn.withColumn("__u", u).withColumn("__n", (F.when(F.col("__u") > 0, F.col("skipped")).otherwise(0) + F.size(F.filter("cdf", lambda c: c <= F.col("__u")))).cast("int")).where("__n > 0")
     out = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     if shuffle:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -102,7 +129,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
 def _with_cdf(parts):
     for p in parts:
-        yield p.assign(rate_source=p["source"], cdf=[poisson_cdf(float(r)) for r in p["rate"]])[["rate_source", "cdf"]]
+        tables = [poisson_table(float(r)) for r in p["rate"]]
+        yield p.assign(rate_source=p["source"], skipped=[t[0] for t in tables], cdf=[t[1] for t in tables])[["rate_source", "skipped", "cdf"]]
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import math
 from collections import Counter
+from decimal import Decimal, localcontext
 
 import pytest
 
@@ -58,6 +59,39 @@ def test_large_sample_reaches_the_target(spark):
     assert abs(n["a"] / sum(n.values()) - 0.5) < 0.02 and abs(sum(n.values()) / 30_000 - 1) < 0.03
 
 
+def exact_quantile(rate, u):
+    with localcontext() as c:
+        c.prec = 60
+        rate, u = Decimal(rate), Decimal(u)
+        n, p = 0, (-rate).exp()
+        total = p
+        while total <= u:
+            n += 1
+            p *= rate / n
+            total += p
+        return n
+
+
+@pytest.mark.parametrize("rate", [64.5, 1000.25, 20_000.0])
+def test_quantiles_at_large_rates_are_exact(rate):
+    first, cdf = mixing.poisson_table(rate)
+    assert cdf[-1] == 1.0 and 0 < cdf[0] < 2**-52
+    for u in (2**-40, 0.001, 0.25, 0.5, 0.9, 0.999, 1 - 2**-40):
+        assert first + sum(c <= u for c in cdf) == exact_quantile(rate, u)
+
+
+def test_small_sources_beside_a_very_large_one(spark):
+    big = spark.range(200).selectExpr("id AS doc_id", "repeat('x', 50000) AS text", "'hot' AS source")
+    tiny = spark.createDataFrame([(1000, "ten chars.", "small"), (1001, "five.", None), (1002, "", None)], "doc_id bigint, text string, source string")
+    t = {"hot": 10_000_000, "small": 10, None: 5}
+    rate = {s: sum(t.values()) * n**mixing.ALPHA / sum(v**mixing.ALPHA for v in t.values()) / n for s, n in t.items()}
+    assert min(rate["small"], rate[None]) > 900
+    got = Counter(r.doc_id for r in mixing.mix_sources(big.unionByName(tiny)).select("doc_id").collect())
+    place = {1000: "small", 1001: None, 1002: None} | dict.fromkeys(range(200), "hot")
+    want = {i: exact_quantile(rate[s], unit(mixing.SEED, i)) for i, s in place.items()}
+    assert got == {i: n for i, n in want.items() if n}
+
+
 def test_empty_tables_and_refusals(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert mixing.mix_sources(docs).collect() == []
