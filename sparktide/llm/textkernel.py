@@ -116,7 +116,7 @@ class Words:
         """Hash of the k words from each word on, and whether the text has that many left."""
         n = len(self.hash)
         out = np.zeros(n, dtype=U64)
-        for j, c in enumerate(constants(k, seed)):
+        for j, c in enumerate(constants(k, seed)[:n]):  # no gram reaches farther than the last word
             out[: n - j] += self.hash[j:] * c
         last = np.repeat(self.off[1:] - k, np.diff(self.off))
         return mix64(out), np.arange(n) <= last
