@@ -38,6 +38,11 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return by_place.select(*[by_place[f"__p{names.index(c)}"].alias(n) for n, c in columns.items()])
 
 
+def is_integral(df: DataFrame, column: str) -> bool:
+    """Whether a column's type is one of the whole-number types."""
+    return dict(df.dtypes)[column] in _INTEGRAL
+
+
 def with_keys(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
     """All columns by place (__p0, ...), plus __id (BIGINT order of documents), __key (of the row) and __text.
 

@@ -1,7 +1,10 @@
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from sparktide.llm import balltree, rpforest
+from sparktide.llm import balltree, rpforest, vectors
+from sparktide.llm.vectors import TopK
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int"
 
@@ -79,3 +82,58 @@ def test_odd_rows_are_left_out(spark, fn):
     assert len(got) == 8 * 7
     assert fn(spark.createDataFrame([], SCHEMA)).collect() == []
     assert fn(spark.createDataFrame([(1, [1.0], 0)], SCHEMA)).collect() == []
+
+
+def recall_of(spark, ids, x, k=10, **params):
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in rpforest.nearest_neighbours(df, k=k, queries=F.col("id") % 20 == 0, **params).collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbor_id)
+    asked = [i for i, v in enumerate(ids) if v % 20 == 0]
+    assert set(got) == {int(ids[i]) for i in asked}
+    near, _ = rpforest.brute_neighbours(x[asked], np.array(asked), x, k)
+    return np.mean([len(got[int(ids[i])] & set(ids[n].tolist())) / k for i, n in zip(asked, near, strict=True)])
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_forest_recall_of_the_query_set(spark, size):
+    t = pq.read_table(f"/root/testdata/{size}/embeddings.parquet").to_pandas()
+    ids, x = t["vec_id"].to_numpy(), np.stack(t["embedding"]).astype(np.float64)
+    assert recall_of(spark, ids, x) >= 0.9
+    if size == "sf0.1":
+        assert recall_of(spark, ids, x, shard_rows=300) >= 0.9
+
+
+def test_forest_visits_few_rows_of_clustered_vectors():
+    rng = np.random.default_rng(0)
+    c = rng.standard_normal((100, 32))
+    x = c[rng.integers(0, 100, 8000)] + 0.2 * rng.standard_normal((8000, 32))
+    d = rpforest.build_forest(8, 64, 10, rpforest.RECALL)(np.arange(len(x)), x)
+    at = np.arange(0, len(x), 20)
+    top = TopK(at, 10)
+    done = rpforest.search_forest(x[at], np.arange(len(at)), top, *(d[k] for k in rpforest._KEYS))
+    row, found, _, _ = top.result()
+    near, _ = rpforest.brute_neighbours(x[at], at, x, 10)
+    assert np.mean([len(set(found[row == j]) & set(near[j])) / 10 for j in range(len(at))]) >= 0.9
+    assert done < 0.15 * len(at) * len(x)
+
+
+def test_equal_vectors_do_not_fill_one_shard(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(300)] + [(1000 + i, [float(i), -1.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    clean = vectors.clean_vectors(df, "vec_id", "embedding").withColumn("ask", F.lit(True))
+    tree, _ = rpforest.build_tree(np.array([r[1] for r in rows]), 1, np.random.default_rng(1), leaves=6)
+    sizes = [r[1] for r in vectors.with_shards(clean, lambda x: tree.margins(x).argmax(axis=0), tree.leaves, 100).groupBy("shard").count().collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 200
+    got = rpforest.nearest_neighbours(df, k=3, shard_rows=100).where("vec_id < 300").collect()
+    assert len(got) == 900 and all(r.distance == 0 and r.neighbor_id <= 3 for r in got)
+
+
+def test_string_ids_and_left_out_rows(spark):
+    rows = [("b", [0.0, 1.0]), ("a", [0.0, 1.0]), ("c", [0.1, 1.0]), (None, [1.0, 1.0]), ("d", None), ("e", [1.0, float("nan")]), ("f", [1.0])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    near = {(r.vec_id, r.rank): r.neighbor_id for r in rpforest.nearest_neighbours(df, k=1).collect()}
+    assert near == {("a", 1): "b", ("b", 1): "a", ("c", 1): "a"}
+    top = {(r.vec_id, r.rank): r.neighbor_id for r in balltree.exact_top_k(df, k=1).collect()}
+    assert top == {("a", 1): "b", ("b", 1): "a", ("c", 1): "a"}
+    assert {tuple(r) for r in vectors.left_out(df).collect()} == {("no id", 1), ("no vector", 1), ("not finite", 1), ("another length", 1)}
