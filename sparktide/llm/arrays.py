@@ -38,3 +38,22 @@ def get(root: str, name: str, *keys: str) -> list[np.ndarray]:
         with fs.open_input_file(f"{path}/{name}/{k}.npy") as f:
             out.append(np.load(io.BytesIO(f.read())))
     return out
+
+
+def put_text(root: str, name: str, text: str) -> None:
+    """A small file, which replaces one of that name at once."""
+    fs, path = _at(root)
+    fs.create_dir(path, recursive=True)
+    part = f"{path}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as out:
+        out.write(text.encode())
+    fs.move(part, f"{path}/{name}")
+
+
+def get_text(root: str, name: str) -> str | None:
+    """The file's text; None if there is no such file."""
+    fs, path = _at(root)
+    if fs.get_file_info(f"{path}/{name}").type == pafs.FileType.NotFound:
+        return None
+    with fs.open_input_file(f"{path}/{name}") as f:
+        return f.read().decode()

@@ -15,6 +15,7 @@ A hash of each whole document is stored too (position -1), so that exact copies
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -23,15 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import arrays
 from .common import Scratch, restore, small, with_keys
 from .textkernel import Words, chunks, lean, sliding_argmin, text_chunks
 
 WINDOW = 50
 GRAM = 25
-BATCHES = 3
-FANOUT = 4
+#: More batches than the fan-out, so that runs are compacted before the last batch comes.
+BATCHES = 4
+FANOUT = 3
 _WHOLE = (1 << 31) - 1
-_NULL_ID = (1 << 63) - 1
+_RUN = "h bigint, id bigint, key bigint, pos int"
 _SPANS = "id bigint, key bigint, src_id bigint, src_key bigint, ws int, we int"
 
 
@@ -107,59 +110,93 @@ def _merge_spans(window: int):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints, newest last, and the tombstones of cut spans.
+    """Sorted immutable runs of fingerprints, oldest first: (level, table, tombstones of its spans that were cut or None).
 
     Each run is a table bucketed by hash, so joins of runs with each other and with
-    a new batch's run read it in place, without a shuffle.
+    a new batch's run read it in place, without a shuffle. With a path the index lies there and can be opened again by a later
+    session: a manifest, written last, names its runs, and what it doesn't name is no part of it.
     """
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int | None = None, fanout: int = FANOUT, window: int = WINDOW, gram: int = GRAM):
-        self.spark, self.scratch, self.fanout, self.window, self.gram = spark, scratch, fanout, window, gram
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[tuple[int, str]] = []
-        self.dead: list[DataFrame] = []
+    def __init__(self, spark: SparkSession, scratch: Scratch, buckets: int | None = None, fanout: int | None = None, window: int = WINDOW, gram: int = GRAM, path: str | None = None):
+        self.spark, self.scratch, self.fanout, self.window, self.gram = spark, scratch, fanout or FANOUT, window, gram
+        self.path, self.kept = path or scratch.path, path is not None
+        self.runs: list[tuple[int, str, str | None]] = []
+        self.pending: list[str] = []
+        found = arrays.get_text(self.path, "manifest.json") if self.kept else None
+        if found is None:
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            return
+        m = json.loads(found)
+        if (m["window"], m["gram"]) != (window, gram):
+            raise ValueError(f"the index has windows of {m['window']} and grams of {m['gram']} words")
+        self.buckets = m["buckets"]
+        self.runs = [tuple(r) for r in m["runs"]]
+        for _, name, _ in self.runs:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_RUN}) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
 
     def write_run(self, rows: DataFrame) -> str:
         """A run's table name; the run isn't part of the index yet."""
         name = f"sparktide_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "h").sortWithinPartitions("h").write.option("path", f"{self.scratch.path}/{name}").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
+        self.pending.append(name)
+        rows.repartition(self.buckets, "h").sortWithinPartitions("h").write.option("path", f"{self.path}/{name}").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
         return name
 
     def table(self, name: str) -> DataFrame:
         return self.spark.table(name)
 
-    def live(self, rows: DataFrame) -> DataFrame:
-        """Rows (key, pos) that no tombstone covers: some window that holds the gram isn't cut whole."""
-        for t in self.dead:
-            cut = small(t.select(F.col("key").alias("tk"), "ws", "we"), 24)
-            covered = (F.col("key") == F.col("tk")) & (F.col("pos") - (self.window - self.gram) >= F.col("ws")) & (F.col("pos") + self.window <= F.col("we"))
-            rows = rows.join(cut, covered, "left_anti")
-        return rows
+    def live(self, rows: DataFrame, dead: str | None) -> DataFrame:
+        """Rows (key, pos) of a run that its tombstones don't cover: some window that holds the gram isn't cut whole."""
+        if dead is None:
+            return rows
+        cut = small(self.spark.read.parquet(f"{self.path}/{dead}").select(F.col("key").alias("tk"), "ws", "we"), 24)
+        covered = (F.col("key") == F.col("tk")) & (F.col("pos") - (self.window - self.gram) >= F.col("ws")) & (F.col("pos") + self.window <= F.col("we"))
+        return rows.join(cut, covered, "left_anti")
 
     def add(self, run: str, cut: DataFrame) -> None:
-        """Make a run history; `cut` are its spans (key, ws, we) that were cut. Full levels are compacted."""
-        self.runs.append((0, run))
-        self.dead.append(cut)
+        """Make a run history; `cut` are its spans (key, ws, we) that were cut.
+
+        Full levels are compacted into one run of the next, without what tombstones cover, which are then spent.
+        """
+        dead = f"dead_{uuid.uuid4().hex}"
+        cut.write.parquet(f"{self.path}/{dead}")
+        self.runs.append((0, run, dead))
+        gone: list[tuple[str, str | None]] = []
         level = 0
-        while sum(x == level for x, _ in self.runs) >= self.fanout:
-            old = [r for x, r in self.runs if x == level]
-            rows = self.table(old[0])
-            for r in old[1:]:
-                rows = rows.unionByName(self.table(r))
-            new = self.write_run(self.live(rows.where("pos >= 0")).unionByName(rows.where("pos < 0")))
-            for r in old:
-                self.drop(r)
-            self.runs = [(x, r) for x, r in self.runs if x > level] + [(level + 1, new)]
+        while sum(r[0] == level for r in self.runs) >= self.fanout:
+            old = [r for r in self.runs if r[0] == level]
+            parts = []
+            for _, r, d in old:
+                rows = self.table(r)
+                parts.append(self.live(rows.where("pos >= 0"), d).unionByName(rows.where("pos < 0")))
+            new = self.write_run(_union(parts))
+            self.pending.remove(new)
+            gone += [(r, d) for _, r, d in old]
+            self.runs = [(level + 1, new, None) if r is old[0] else r for r in self.runs if r is old[0] or r[0] != level]
             level += 1
+        if self.kept:
+            arrays.put_text(self.path, "manifest.json", json.dumps({"window": self.window, "gram": self.gram, "buckets": self.buckets, "runs": self.runs}))
+        self.pending.remove(run)
+        for r, d in gone:
+            self.drop(r)
+            if d is not None:
+                self.scratch.delete(f"{self.path}/{d}")
 
     def drop(self, run: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {run}")
-        self.scratch.delete(f"{self.scratch.path}/{run}")
+        self.scratch.delete(f"{self.path}/{run}")
 
     def close(self) -> None:
-        for _, r in self.runs:
+        """Drop what a failed batch left; the catalog's tables go, and the files too unless the index is kept."""
+        for r in self.pending:
             self.drop(r)
-        self.runs = []
+        for _, r, d in self.runs:
+            if self.kept:
+                self.spark.sql(f"DROP TABLE IF EXISTS {r}")
+            else:
+                self.drop(r)
+                if d is not None:
+                    self.scratch.delete(f"{self.path}/{d}")
+        self.runs, self.pending = [], []
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -175,13 +212,13 @@ def dedup_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame) -
     batch and history hold __id, __key and __text; history are the documents of all former batches.
     """
     s, window, gram = index.scratch, index.window, index.gram
-    run = index.write_run(batch.select("__id", "__key", "__text").mapInArrow(_fingerprints(window, gram), "h bigint, id bigint, key bigint, pos int"))
+    run = index.write_run(batch.select("__id", "__key", "__text").mapInArrow(_fingerprints(window, gram), _RUN))
     new = index.table(run)
-    old = [index.table(r) for _, r in index.runs]
+    old = [(index.table(r), dead) for _, r, dead in index.runs]
 
     whole = new.where("pos = -1").select("h", "id", "key").distinct()
     first = Window.partitionBy("h").orderBy("age", "id", "key")
-    met = [r.where("pos = -1").join(whole, "h", "left_semi").select("h", "id", "key", F.lit(0).alias("age")).distinct() for r in old]
+    met = [r.where("pos = -1").join(whole, "h", "left_semi").select("h", "id", "key", F.lit(0).alias("age")).distinct() for r, _ in old]
     seen = _union([whole.withColumn("age", F.lit(1)), *met])
     ranked = seen.select("*", F.first("id").over(first).alias("src_id"), F.first("key").over(first).alias("src_key"))
     copies = s.save(ranked.where("age = 1 AND key <> src_key").select("id", "key", "src_id", "src_key", F.lit(0).alias("ws"), F.lit(_WHOLE).alias("we")))
@@ -189,10 +226,10 @@ def dedup_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame) -
     rest = new.where("pos >= 0").join(small(copies.select("key"), 24), "key", "left_anti")
     often = rest.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     hits = [rest.join(often, "h", "left_semi").select("id", "key", "pos", F.lit(1).alias("age"))]
-    for r in old:
+    for r, dead in old:
         r = r.where("pos >= 0")
         hits.append(rest.join(r, "h", "left_semi").select("id", "key", "pos", F.lit(1).alias("age")))
-        hits.append(index.live(r.join(rest.select("h"), "h", "left_semi")).select("id", "key", "pos", F.lit(0).alias("age")))
+        hits.append(index.live(r.join(rest.select("h"), "h", "left_semi"), dead).select("id", "key", "pos", F.lit(0).alias("age")))
     places = s.save(_union(hits).groupBy("age", "id", "key").agg(F.collect_set("pos").alias("places")))
 
     docs = batch.select(F.lit(1).alias("age"), F.col("__key").alias("key"), F.col("__text").alias("text"))
@@ -225,20 +262,30 @@ def batch_bounds(base: DataFrame, batches: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES) -> tuple[DataFrame, DataFrame, list[str], Scratch]:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES, index_path: str | None = None, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[str], Scratch]:
     """All repeated spans of docs, taken as `batches` batches in order of the id; see the module's text.
 
     Batches change the order of work, not the result. NULL and empty texts, and those of fewer than
-    `window` words, have no spans. NULL ids come last. Rows that agree in id and text are one document.
+    `window` words, have no spans. Of equal passages the first in order of id, then of place, stays; ids that aren't integral are
+    ordered by their hash, and NULL ids come last. Rows that agree in id and text are one document. Texts of any length
+    are taken whole.
+    With index_path (in a folder that executors share) the index is kept there, and a later call with new docs goes on from it: history then holds the
+    documents of all former calls, which come before docs.
     Returns spans, the rows with keys, the column names and the scratch folder.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
     base, names = with_keys(docs, id_col, text_col)
     gram = max(1, window // 2)
-    index = FingerprintIndex(spark, scratch, window=window, gram=gram)
-    parts = [dedup_batch(index, base.where(inside), base.where(before)) for inside, before in batch_bounds(base, batches)]
-    index.close()
+    index = FingerprintIndex(spark, scratch, window=window, gram=gram, path=index_path)
+    past = with_keys(history, id_col, text_col)[0].select("__id", "__key", "__text") if history is not None else None
+    parts = []
+    try:
+        for inside, before in batch_bounds(base, batches):
+            known = base.where(before).select("__id", "__key", "__text")
+            parts.append(dedup_batch(index, base.where(inside), known if past is None else known.unionByName(past)))
+    finally:
+        index.close()
     spans = scratch.save(_union(parts))
     scratch.drop(*parts)
     return spans, base, names, scratch
@@ -256,20 +303,28 @@ def _char_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start.append(int(w.start[w.off[i] + a]))
                 end.append(int(w.end[w.off[i] + b - 1]))
                 count.append(b - a)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("src_id"), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(count, pa.int64())], names=["id", "src_id", "s", "e", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("src"), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(count, pa.int64())], names=["doc", "src", "s", "e", "n"])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES, index_path: str | None = None, history: DataFrame | None = None) -> DataFrame:
     """Report, one row per repeated passage: doc_id, first_doc_id, start_char, end_char, n_words.
 
-    The passage in first_doc_id stays. Offsets count code points of the text. See repeated_spans for
-    NULL, empty and repeated rows; an empty table gives an empty report.
+    The passage in first_doc_id stays. Ids are the table's own, of any type. Offsets count code points of the text. See repeated_spans for
+    NULL, empty, very long and repeated rows, and for index_path; an empty table gives an empty report. Other columns don't matter.
     """
-    spans, base, _, _ = repeated_spans(docs, id_col, text_col, window, batches)
-    rows = base.select(F.col("__key").alias("key"), F.col("__text").alias("text")).join(small(spans, 48), "key").select("id", "src_id", "ws", "we", "text")
-    null = F.lit(_NULL_ID)
-    found = rows.mapInArrow(_char_spans, "id bigint, src_id bigint, s bigint, e bigint, n bigint").distinct()
-    return found.select(F.nullif("id", null).alias("doc_id"), F.nullif("src_id", null).alias("first_doc_id"), F.col("s").alias("start_char"), F.col("e").alias("end_char"), F.col("n").alias("n_words"))
+    spans, base, names, scratch = repeated_spans(docs, id_col, text_col, window, batches, index_path, history)
+    own = f"__p{names.index(id_col)}"
+    kind = dict(base.dtypes)[own]
+    every = base.select("__key", F.col(own).alias("src"))
+    if history is not None:
+        past, past_names = with_keys(history, id_col, text_col)
+        every = every.unionByName(past.select("__key", F.col(f"__p{past_names.index(id_col)}").alias("src")))
+    firsts = scratch.save(spans.select(F.col("src_key").alias("__key")).distinct())
+    firsts = scratch.save(every.join(small(firsts, 24), "__key", "left_semi").dropDuplicates(["__key"]).withColumnRenamed("__key", "src_key"))
+    named = scratch.save(spans.join(small(firsts, 80), "src_key").select("key", "ws", "we", "src"))
+    rows = base.select(F.col("__key").alias("key"), F.col(own).alias("doc"), F.col("__text").alias("text")).join(small(named, 96), "key").select("doc", "src", "ws", "we", "text")
+    found = rows.mapInArrow(_char_spans, f"doc {kind}, src {kind}, s bigint, e bigint, n bigint").distinct()
+    return found.toDF("doc_id", "first_doc_id", "start_char", "end_char", "n_words")
 
 
 def cut_text(text: str, w: Words, i: int, spans: list[tuple[int, int]]) -> str | None:

@@ -42,7 +42,7 @@ def test_small_windows_and_many_overlaps(spark):
 
 
 def test_compaction_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(substring.FingerprintIndex.__init__, "__defaults__", (None, 2, 50, 25))
+    monkeypatch.setattr(substring, "FANOUT", 2)
     rows = [r for r in corpus(2) if r[0] is not None]
     got = covered(spark, rows, 50, 6)
     uniq = sorted(set(rows), key=lambda r: r[0])
@@ -73,3 +73,47 @@ def test_empty_table_and_merge(spark):
     assert substring.repeated_passages(docs).collect() == []
     assert substring.drop_repeated_passages(docs).collect() == []
     assert substring.merged(np.array([5, 1, 2, 30]), 4) == [(1, 9), (30, 34)]
+
+
+def test_few_words(spark):
+    rng = random.Random(0)
+    for n in range(61):
+        w = Words([invented(rng, n)])
+        for k in (2, 25, 50):
+            h, valid = w.ngrams(k)
+            assert len(h) == n and valid.sum() == max(0, n - k + 1)
+    for n in (0, 1, 20, 49, 60):
+        df = spark.createDataFrame([(1, invented(rng, n), "en", "s", 0)], SCHEMA)
+        assert substring.repeated_passages(df).count() == 0
+
+
+def test_production_parameters_compact():
+    assert substring.BATCHES > substring.FANOUT
+
+
+def test_second_call_extends_the_index(spark, tmp_path):
+    rows = [r for r in corpus(2) if r[0] is not None]
+    uniq = sorted(set(rows), key=lambda r: r[0])
+    want = {r[0]: bad for r, bad in zip(uniq, repeated_words([r[1] for r in uniq], 50), strict=True)}
+    path, half = str(tmp_path / "index"), 60
+    got = {}
+    for part, history in ((rows[:half], None), (rows[half:], rows[:half])):
+        docs = spark.createDataFrame(part, SCHEMA)
+        old = spark.createDataFrame(history, SCHEMA) if history else None
+        for r in substring.repeated_passages(docs, batches=2, index_path=path, history=old).collect():
+            got.setdefault(r.doc_id, []).append((r.start_char, r.end_char))
+    # the halves go by place, not by id, so that only what is repeated is compared
+    order = sorted(set(rows[:half]), key=lambda r: r[0]) + sorted(set(rows[half:]) - set(rows[:half]), key=lambda r: r[0])
+    want = {r[0]: bad for r, bad in zip(order, repeated_words([r[1] for r in order], 50), strict=True)}
+    for r in order:
+        assert words_in(r[1] or "", got.get(r[0], [])) == want[r[0]], r[0]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("sparktide_run")]
+
+
+def test_string_ids_and_a_very_long_text(spark):
+    rng = random.Random(9)
+    long = invented(rng, 250_000, 100_000)
+    passage = invented(rng, 60, 10_000)
+    docs = spark.createDataFrame([("x", f"{long} {passage}"), ("y", f"{passage} end"), (None, passage)], "doc_id string, text string")
+    got = {(r.doc_id, r.n_words) for r in substring.repeated_passages(docs).collect()}
+    assert len(got) == 2 and {n for _, n in got} == {60} and {i for i, _ in got} <= {"x", "y", None}
