@@ -1,32 +1,36 @@
 """Packing documents into bins of fixed size: best fit, then swap-based local search.
 
-Each shard of documents is packed on its own: best-fit decreasing, then rounds over the underfull
+Each shard of documents is packed on its own: best fit in the order of a hash, so that a bin mixes lengths as the corpus
+does (packing by decreasing length would put documents of like length together), then rounds over the underfull
 bins, from the emptiest. A document is moved to another underfull bin, exchanged for a shorter one,
 exchanged for two others, or two are exchanged for one, whichever raises the sum of squared fills
-most; that drains some bins until they are empty. It ends where nothing raises the sum, or no bin
-could be saved because the bins are as few as the tokens need. Only ids and lengths are moved.
+most; that drains some bins until they are empty. It ends where the bins are as few as the tokens need, or nothing raises
+the sum. Only ids and lengths are moved.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkernel import lean, word_counts
+
 CAPACITY = 4096
 DOCS_PER_SHARD = 8192
 #: A bin counts as underfull if more than this share of it is free.
-SLACK = 0.002
+SLACK = 0.0
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Best-fit decreasing: bins as lists of item indices; each length is 1 to capacity."""
+def best_fit(lengths: list[int], capacity: int, decreasing: bool = False) -> list[list[int]]:
+    """Best fit in the order given, or by decreasing length: bins as lists of item indices; each length is 1 to capacity."""
     bins: list[list[int]] = []
     free: list[tuple[int, int]] = []
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)) if decreasing else range(len(lengths)):
         n = lengths[i]
         at = bisect_left(free, (n, -1))
         if at < len(free):
@@ -40,113 +44,145 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(n, 1)
-
-
-class _Pool:
-    """Items and pairs of items of the underfull bins, as arrays."""
-
-    def __init__(self, lengths: np.ndarray, bins: dict[int, list[int]]):
-        self.item, self.home, p1, p2, ph = [], [], [], [], []
-        for b, items in bins.items():
-            self.item += items
-            self.home += [b] * len(items)
-            x, y = _pairs(len(items))
-            own = np.array(items, dtype=np.int64)
-            p1.append(own[x])
-            p2.append(own[y])
-            ph.append(np.full(len(x), b))
-        self.item, self.home = np.array(self.item, dtype=np.int64), np.array(self.home, dtype=np.int64)
-        self.size = lengths[self.item]
-        self.p1, self.p2, self.phome = np.concatenate(p1), np.concatenate(p2), np.concatenate(ph)
-        self.psize = lengths[self.p1] + lengths[self.p2]
+class _Bin:
+    """A bin's documents by distinct length, and their pairs by distinct lengths: documents of one length are interchangeable.
 
+    Distinct lengths sum to at most the capacity, so there are at most about sqrt(2 capacity) of them.
+    """
 
-def _best(delta: np.ndarray, home: np.ndarray, a: int, fill: np.ndarray, capacity: int) -> tuple[int, int]:
-    """Largest rise of the squared fills if delta tokens go from bin a to each home, and where; (0, -1) if none."""
-    if not len(delta):
-        return 0, -1
-    target = fill[home]
-    gain = 2 * delta * (target + delta - fill[a])
-    gain[(delta <= 0) | (target + delta > capacity) | (home == a)] = 0
-    at = int(gain.argmax())
-    return (int(gain[at]), at) if gain[at] > 0 else (0, -1)
+    __slots__ = ("item", "pair", "pair_sum", "size")
+
+    def __init__(self, size: np.ndarray, items: list[int]):
+        own = np.array(items, dtype=np.int64)
+        self.size, first, count = np.unique(size[own], return_index=True, return_counts=True)
+        self.item = own[first]
+        i, j = np.triu_indices(len(self.item), 1)
+        twice = np.flatnonzero(count > 1)
+        second = np.array([own[np.flatnonzero(size[own] == self.size[t])[1]] for t in twice], dtype=np.int64)
+        self.pair = np.concatenate([np.stack([self.item[i], self.item[j]], axis=1), np.stack([self.item[twice], second], axis=1)])
+        self.pair_sum = np.concatenate([self.size[i] + self.size[j], 2 * self.size[twice]])
+
+
+class Search:
+    """Swap-based local search over the bins of one shard; counts its steps and the bins it emptied."""
+
+    def __init__(self, lengths: list[int], bins: list[list[int]], capacity: int, slack: float = SLACK):
+        self.size, self.capacity = np.array(lengths, dtype=np.int64), capacity
+        self.bins = {b: list(items) for b, items in enumerate(bins)}
+        self.fill = np.array([self.size[items].sum() for items in bins], dtype=np.int64)
+        self.fewest = -(-int(self.size.sum()) // capacity) if len(lengths) else 0
+        self.least = int(slack * capacity)
+        self.steps = self.emptied = 0
+
+    def squares(self) -> int:
+        return int((self.fill**2).sum())
+
+    def _gather(self, under: list[int], cache: dict[int, _Bin]) -> tuple[np.ndarray, ...]:
+        one, two = [cache[b].size for b in under], [cache[b].pair_sum for b in under]
+        at = np.arange(len(under))
+        return np.concatenate(one), np.repeat(at, [len(x) for x in one]), np.concatenate(two), np.repeat(at, [len(x) for x in two])
+
+    def _step(self, a: int, under: list[int], cache: dict[int, _Bin]) -> int | None:
+        """The exchange of bin a with one of `under` that raises the sum of squared fills most; the other bin, None if nothing does."""
+        fill = self.fill[under]
+        size, home, pair, pair_home = self._gather(under, cache)
+        own, here = cache[a], int(self.fill[a])
+        best = (0, 0, 0, 0)
+        # kinds: move one, one for one, one for two, two for one
+        for kind, out, back, at in ((0, own.size, np.zeros(len(under), dtype=np.int64), np.arange(len(under))), (1, own.size, size, home), (2, own.size, pair, pair_home), (3, own.pair_sum, size, home)):
+            if not len(out) or not len(back):
+                continue
+            delta = out[:, None] - back[None, :]
+            target = fill[at][None, :] + delta
+            gain = np.where((delta > 0) & (target <= self.capacity), delta * (target - here), 0)
+            top = int(gain.argmax())
+            if gain.flat[top] > best[0]:
+                best = (int(gain.flat[top]), kind, *divmod(top, len(back)))
+        if not best[0]:
+            return None
+        _, kind, i, j = best
+        at = j if kind == 0 else int((home if kind != 2 else pair_home)[j])
+        b = under[at]
+        out = own.pair[i].tolist() if kind == 3 else [int(own.item[i])]
+        if kind == 0:
+            back = []
+        elif kind == 2:
+            back = cache[b].pair[j - int(np.searchsorted(pair_home, at))].tolist()
+        else:
+            back = [int(cache[b].item[j - int(np.searchsorted(home, at))])]
+        self.bins[a] = [x for x in self.bins[a] if x not in out] + back
+        self.bins[b] = [x for x in self.bins[b] if x not in back] + out
+        change = int(self.size[out].sum() - self.size[back].sum())
+        self.fill[a] -= change
+        self.fill[b] += change
+        self.steps += 1
+        return b
+
+    def run(self) -> list[list[int]]:
+        """Bins at the end: as few as the tokens need, or no exchange with an underfull bin raises the sum of squared fills.
+
+        Each step raises that sum, an integer with an upper bound, so it ends.
+        """
+        moved = True
+        while moved and len(self.bins) > self.fewest:
+            moved = False
+            order = sorted((b for b in self.bins if self.capacity - self.fill[b] > self.least), key=lambda b: (self.fill[b], b))
+            cache = {b: _Bin(self.size, self.bins[b]) for b in order}
+            for a in order:
+                if a not in cache:
+                    continue
+                under = [b for b in cache if b != a]
+                while self.bins[a] and under:
+                    b = self._step(a, under, cache)
+                    if b is None:
+                        break
+                    moved = True
+                    for x in (a, b):
+                        if self.capacity - self.fill[x] > self.least:
+                            cache[x] = _Bin(self.size, self.bins[x])
+                        elif x in cache:
+                            del cache[x]
+                            under = [y for y in under if y != x]
+                if not self.bins[a]:
+                    del self.bins[a]
+                    cache.pop(a, None)
+                    self.emptied += 1
+                    if len(self.bins) <= self.fewest:
+                        break
+        return list(self.bins.values())
 
 
 def local_search(lengths: list[int], bins: list[list[int]], capacity: int, slack: float = SLACK) -> list[list[int]]:
-    """Raise the sum of squared fills by moves and swaps between underfull bins; empty bins are dropped.
+    """The bins after Search; empty ones are dropped."""
+    return Search(lengths, bins, capacity, slack).run()
 
-    Each step raises the sum, an integer with an upper bound, so it ends.
-    """
-    size = np.array(lengths, dtype=np.int64)
-    work = {b: list(items) for b, items in enumerate(bins)}
-    fill = np.array([size[items].sum() for items in bins], dtype=np.int64)
-    fewest = -(-int(size.sum()) // capacity) if len(size) else 0
-    moved = True
-    while moved and len(work) > fewest:
-        moved = False
-        under = sorted((b for b in work if capacity - fill[b] > slack * capacity), key=lambda b: (fill[b], b))
-        if len(under) < 2:
-            break
-        pool = _Pool(size, {b: work[b] for b in under})
-        every = np.array(under)
-        for a in under:
-            step = True
-            while step and work[a]:
-                step = False
-                best: tuple = (0,)
-                for x in sorted(work[a], key=lambda i: -lengths[i]):
-                    n = lengths[x]
-                    for kind, delta, home in (("move", np.full(len(every), n), every), ("one", n - pool.size, pool.home), ("two", n - pool.psize, pool.phome)):
-                        gain, at = _best(delta, home, a, fill, capacity)
-                        if gain > best[0]:
-                            best = (gain, int(home[at]), [x], [] if kind == "move" else [pool.item[at]] if kind == "one" else [pool.p1[at], pool.p2[at]])
-                own = np.array(work[a], dtype=np.int64)
-                for i, j in zip(*_pairs(len(own)), strict=True):
-                    gain, at = _best(size[own[i]] + size[own[j]] - pool.size, pool.home, a, fill, capacity)
-                    if gain > best[0]:
-                        best = (gain, int(pool.home[at]), [own[i], own[j]], [pool.item[at]])
-                if best[0]:
-                    _, b, out, back = best
-                    out, back = [int(x) for x in out], [int(x) for x in back]
-                    work[a] = [x for x in work[a] if x not in out] + back
-                    work[b] = [x for x in work[b] if x not in back] + out
-                    change = int(size[out].sum() - size[back].sum())
-                    fill[a] -= change
-                    fill[b] += change
-                    # bins emptied earlier in the round are no longer in work
-                    left = [c for c in under if work.get(c)]
-                    pool = _Pool(size, {c: work[c] for c in left})
-                    every = np.array(left)
-                    step = moved = True
-            if not work[a]:
-                del work[a]
-                if len(work) <= fewest:
-                    break
-    return list(work.values())
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(word_counts(batch.column("text")))], names=["id", "n"])
 
 
 def _pack(capacity: int, slack: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        shard = int(rows["shard"].iloc[0]) << 32
-        n, ids = rows["n"].to_numpy(), rows["id"]
-        full = n // capacity
-        rest = n % capacity
-        # pieces of a whole bin first, then what is left of each document
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("place", "ascending"), ("n", "descending"), ("id", "ascending")])
+        shard, n = t.column("shard")[0].as_py() << 32, np.asarray(t.column("n"))
+        full, rest = n // capacity, n % capacity
+        # pieces of a whole bin first, then what is left of each document, then the documents without a token
         owner = np.repeat(np.arange(len(n)), full)
         piece = np.arange(len(owner)) - np.repeat(np.cumsum(full) - full, full)
-        left = np.flatnonzero(rest)
+        left, none = np.flatnonzero(rest), np.flatnonzero(n == 0)
         lengths = rest[left].tolist()
         bins = local_search(lengths, best_fit(lengths, capacity), capacity, slack)
-        at = np.array([i for b in bins for i in b], dtype=np.int64)
+        at = left[np.array([i for b in bins for i in b], dtype=np.int64)]
         number = np.repeat(np.arange(len(bins)), [len(b) for b in bins]) + len(owner)
-        rows_at = np.concatenate([owner, left[at]]) if len(at) else owner
-        pieces = np.concatenate([piece, full[left[at]]]) if len(at) else piece
-        sizes = np.concatenate([np.full(len(owner), capacity), rest[left[at]]]) if len(at) else np.full(len(owner), capacity)
-        bin_id = np.concatenate([np.arange(len(owner)), number]) if len(at) else np.arange(len(owner))
-        return pd.DataFrame({"bin_id": bin_id + shard, "doc_id": ids.iloc[rows_at].to_numpy(), "piece": pieces, "start_token": pieces * capacity, "n_tokens": sizes})
+        pieces = np.concatenate([piece, full[at], np.zeros(len(none), dtype=np.int64)])
+        bin_id = np.concatenate([np.arange(len(owner)), number, none]) + shard
+        return pa.table({
+            "bin_id": pa.array(bin_id, pa.int64(), mask=np.arange(len(bin_id)) >= len(bin_id) - len(none)),
+            "doc_id": t.column("id").take(pa.array(np.concatenate([owner, at, none]))),
+            "piece": pieces, "start_token": pieces * capacity,
+            "n_tokens": np.concatenate([np.full(len(owner), capacity), rest[at], n[none]]),
+        })
 
     return run
 
@@ -154,10 +190,11 @@ def _pack(capacity: int, slack: float):
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", docs_per_shard: int = DOCS_PER_SHARD, slack: float = SLACK) -> DataFrame:
     """bin_id, doc_id, piece, start_token, n_tokens: each document's pieces and the bin of each.
 
-    A token is a run of characters other than white space. A document longer than a bin fills whole bins
-    and leaves a rest. NULL texts and those without a token need no room: one row with bin_id NULL
+    A token is a run of characters other than white space (space, tab, line feed, vertical tab, form feed, return). A document longer
+    than a bin, however long, fills whole bins and leaves a rest. NULL texts and those without a token need no room: one row with bin_id NULL
     and 0 tokens. Every row is packed, repeated ones each for itself, also with a NULL id.
-    The id must be integral. An empty table gives no rows.
+    Ids of any type are given as they are. Documents are taken in the order of a hash of id and length, then of the id; of exchanges that gain
+    alike the first found is made. Other columns don't matter. An empty table gives no rows.
     """
     names = docs.columns
     for c in (id_col, text_col):
@@ -166,18 +203,14 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     d = docs.toDF(*[f"__p{i}" for i in range(len(names))])
-    doc_id, text = F.col(f"__p{names.index(id_col)}"), F.col(f"__p{names.index(text_col)}")
+    d = d.select(F.col(f"__p{names.index(id_col)}").alias("id"), F.col(f"__p{names.index(text_col)}").cast("string").alias("text"))
+    kind = d.schema["id"].dataType.simpleString()
     shards = max(1, -(-docs.select(F.lit(1)).count() // docs_per_shard))
-    n = F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("bigint")
-    # the length takes part so that repeated ids, of many copies, don't all fall in one shard
-    sized = d.select(doc_id.cast("bigint").alias("id"), n.alias("n")).withColumn("shard", F.pmod(F.xxhash64("id", "n"), F.lit(shards)))
-    schema = "bin_id bigint, doc_id bigint, piece bigint, start_token bigint, n_tokens bigint"
-    # a NULL id would turn the group's ids into floats
-    sized = sized.withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0)))
-    packed = sized.where("n > 0").withColumn("id", F.when(F.col("none"), F.lit(-(1 << 63))).otherwise(F.col("id"))).drop("none").groupBy("shard").applyInPandas(_pack(capacity, slack), schema)
-    packed = packed.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
-    none = sized.where("n = 0").select(F.lit(None).cast("bigint").alias("bin_id"), F.when(~F.col("none"), F.col("id")).alias("doc_id"), F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("start_token"), F.col("n").alias("n_tokens"))
-    return packed.unionByName(none)
+    sized = d.mapInArrow(lean(_sizes), f"id {kind}, n bigint")
+    # the length and the place in the input take part, so that repeated ids, of many copies, don't all fall in one shard
+    place = F.xxhash64("id", "n")
+    sized = sized.withColumn("place", place).withColumn("shard", F.pmod(F.xxhash64("place", F.spark_partition_id()), F.lit(shards)))
+    return sized.groupBy("shard").applyInArrow(_pack(capacity, slack), f"bin_id bigint, doc_id {kind}, piece bigint, start_token bigint, n_tokens bigint")
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
