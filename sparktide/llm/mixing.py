@@ -10,21 +10,23 @@ All is built-in expressions; what is collected is one row per source.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, pick, small
+from .textkernel import lean, word_counts
 
 SEED = 17
 #: Target share of a source without given weights: its tokens to this power, normalized.
 ALPHA = 0.5
 #: Up to this rate the distribution is summed from 0, beyond it outwards from its mode.
 PLAIN_RATE = 64.0
-#: A mean rate beyond this is refused: one document's copy numbers are an array in memory. With the default budget and
-#: shares it takes a source 2.8e14 times smaller than the whole.
-MAX_COPIES = float(1 << 24)
+#: Copies of a document that are numbered in one array; more are numbered in several.
+COPY_BLOCK = 1 << 16
 _UNIT = float(1 << 52)
 
 
@@ -66,10 +68,17 @@ def poisson_table(rate: float) -> tuple[int, list[float]]:
     return k, (total / total[-1]).tolist()
 
 
+def _tokens_by_source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        t = pa.table({"source": batch.column("source"), "tokens": word_counts(batch.column("text"))})
+        yield from t.group_by("source").aggregate([("tokens", "sum")]).select(["source", "tokens_sum"]).rename_columns(["source", "tokens"]).to_batches()
+
+
 def source_tokens(docs: DataFrame, source_col: str, text_col: str) -> DataFrame:
-    """(source, tokens): characters of each source; NULL is a source of its own."""
-    d = pick(docs, source=source_col, text=text_col)
-    return d.groupBy("source").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("tokens"))
+    """(source, tokens): tokens of each source, runs of characters other than white space as in packing; NULL is a source of its own."""
+    d = pick(docs, source=source_col, text=text_col).select("source", F.col("text").cast("string").alias("text"))
+    # one row a source and batch comes out of the scan
+    return d.mapInArrow(lean(_tokens_by_source), "source string, tokens bigint").groupBy("source").agg(F.sum("tokens").alias("tokens"))
 
 
 def source_rates(sizes: DataFrame, weights: dict[str | None, float] | None = None, budget: float | None = None, alpha: float = ALPHA) -> DataFrame:
@@ -96,20 +105,16 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
     All columns stay. copy_col, if given, numbers the copies from 1 and replaces a column of that name.
     The count hashes the id, and the text's MD5 if the id is NULL; rows that agree in id are drawn alike. NULL sources are a
-    source of their own. Documents of NULL or empty text take part at their source's rate. A mean rate above
-    MAX_COPIES raises ValueError. An empty table gives an empty one.
+    source of their own. Documents of NULL or empty text take part at their source's rate; texts of any length are counted whole.
+    Ids may have any type, the source is a STRING. No rate is too large. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    rates = scratch.save(source_rates(source_tokens(docs, source_col, text_col), weights, budget, alpha))
-    # the quantile table of each source, built next to its rate
-    top = rates.agg(F.max("rate")).first()[0] or 0.0
-    if top > MAX_COPIES:
-        raise ValueError(f"a source would be repeated {top:.0f} times on average; lower its weight or the budget")
-    table = rates.mapInPandas(_with_cdf, "rate_source string, skipped bigint, cdf array<double>") if dict(docs.dtypes).get(source_col) == "string" else None
-    if table is None:
+    if dict(docs.dtypes).get(source_col) != "string":
         raise ValueError(f"{source_col!r} must be a string column")
-    table = scratch.save(table)
+    sizes = scratch.save(source_tokens(docs, source_col, text_col))
+    # the quantile table of each source, built next to its rate
+    table = scratch.save(source_rates(sizes, weights, budget, alpha).mapInPandas(_with_cdf, "rate_source string, skipped bigint, cdf array<double>"))
     table = small(table, 320 + 8 * math.ceil(table.agg(F.avg(F.size("cdf"))).first()[0] or 0.0))
     names = docs.columns
     d = docs.toDF(*[f"__p{i}" for i in range(len(names))])
@@ -117,8 +122,10 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     key = F.coalesce(at[id_col].cast("string"), F.md5(F.coalesce(at[text_col], F.lit("")).cast("binary")))
     drawn = d.withColumn("__key", key).join(table, at[source_col].eqNullSafe(F.col("rate_source")))
     u = unit_hash(F.lit(str(seed)), F.col("__key"))
-    copies = drawn.withColumn("__u", u).withColumn("__n", (F.when(F.col("__u") > 0, F.col("skipped")).otherwise(0) + F.size(F.filter("cdf", lambda c: c <= F.col("__u")))).cast("int")).where("__n > 0")
-    out = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    copies = drawn.withColumn("__u", u).withColumn("__n", (F.when(F.col("__u") > 0, F.col("skipped")).otherwise(0) + F.size(F.filter("cdf", lambda c: c <= F.col("__u")))).cast("bigint")).where("__n > 0")
+    first = F.explode(F.sequence(F.lit(1), F.col("__n"), F.lit(COPY_BLOCK))).alias("__first")
+    copies = copies.select("*", first)
+    out = copies.withColumn("__copy", F.explode(F.sequence(F.col("__first"), F.least(F.col("__first") + (COPY_BLOCK - 1), F.col("__n")))))
     if shuffle:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         place = F.xxhash64(F.lit(seed), F.col("__key"), F.col("__copy"))
@@ -138,12 +145,12 @@ def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = f"""
-WITH sizes AS (SELECT source, sum(length(text)) AS tokens FROM documents GROUP BY source),
+WITH sizes AS (SELECT source, sum(len(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+'))) AS tokens FROM documents GROUP BY source),
 shares AS (SELECT source, tokens, pow(tokens::DOUBLE, {ALPHA}) AS share FROM sizes),
 rates AS (SELECT source, sum(tokens) OVER ()::DOUBLE * share / sum(share) OVER () / tokens AS rate FROM shares),
-terms AS (SELECT source, k, exp(-rate) * pow(rate, k) / gamma(k + 1) AS p FROM rates, range(0, 60) r(k)),
+terms AS (SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM (SELECT source, rate, unnest(range(0, (rate + 12 * sqrt(rate) + 60)::BIGINT)) AS k FROM rates)),
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
 drawn AS (SELECT *, ('0x' || substr(md5('{SEED}:' || doc_id), 1, 13))::BIGINT::DOUBLE / {1 << 52} AS u FROM documents),
 counts AS (SELECT doc_id, count(*) FILTER (WHERE c <= u) AS n FROM drawn JOIN cdf USING (source) GROUP BY doc_id)
-SELECT d.*, g.copy::INTEGER AS copy FROM documents d JOIN counts USING (doc_id), range(1, 64) g(copy) WHERE g.copy <= n
+SELECT d.*, unnest(range(1, n + 1)) AS copy FROM documents d JOIN counts USING (doc_id)
 """
