@@ -92,9 +92,13 @@ def assign_shards(docs: DataFrame, topology: Topology | None = None, id_col: str
     return d.select(*keep, *[F.col(f"__{x}").alias(x) for x in LEVELS])
 
 
-def lay_out(sharded: DataFrame, pieces: int = 4, id_col: str = "doc_id") -> DataFrame:
-    """The rows moved so that each task's output belongs to few shards; a shard is cut into up to `pieces` pieces by hash."""
-    return sharded.repartition(*LEVELS, F.pmod(F.xxhash64(id_col), F.lit(pieces)))
+def lay_out(sharded: DataFrame) -> DataFrame:
+    """The rows moved so that each task's output belongs to one shard, or to few small ones.
+
+    Adaptive execution cuts what is large by size (spark.sql.adaptive.advisoryPartitionSizeInBytes), so tasks stay the same
+    at any table size, even where one id makes up most of a shard; small shards are put together.
+    """
+    return sharded.hint("rebalance", *LEVELS)
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 from decimal import Decimal, localcontext
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparktide.llm import mixing, sharding
 
@@ -18,7 +19,7 @@ def wanted_counts(rows, weights=None, budget=None):
     """Copies of each row by the definition."""
     tokens = Counter()
     for r in rows:
-        tokens[r[3]] += len(r[1] or "")
+        tokens[r[3]] += len((r[1] or "").split())
     share = {s: (weights.get(s, 0) if weights else t**mixing.ALPHA) if t else 0 for s, t in tokens.items()}
     total = sum(share.values())
     rate = {s: (budget or sum(tokens.values())) * share[s] / total / t if t else 0 for s, t in tokens.items()}
@@ -81,8 +82,8 @@ def test_quantiles_at_large_rates_are_exact(rate):
 
 
 def test_small_sources_beside_a_very_large_one(spark):
-    big = spark.range(200).selectExpr("id AS doc_id", "repeat('x', 50000) AS text", "'hot' AS source")
-    tiny = spark.createDataFrame([(1000, "ten chars.", "small"), (1001, "five.", None), (1002, "", None)], "doc_id bigint, text string, source string")
+    big = spark.range(200).selectExpr("id AS doc_id", "repeat('x ', 50000) AS text", "'hot' AS source")
+    tiny = spark.createDataFrame([(1000, "ten words " * 5, "small"), (1001, "a b c d e", None), (1002, "", None)], "doc_id bigint, text string, source string")
     t = {"hot": 10_000_000, "small": 10, None: 5}
     rate = {s: sum(t.values()) * n**mixing.ALPHA / sum(v**mixing.ALPHA for v in t.values()) / n for s, n in t.items()}
     assert min(rate["small"], rate[None]) > 900
@@ -98,7 +99,7 @@ def test_empty_tables_and_refusals(spark):
     assert sharding.assign_shards(docs).collect() == []
     full = spark.createDataFrame(corpus(), SCHEMA)
     with pytest.raises(ValueError):
-        mixing.mix_sources(full, {"src0": 1.0}, budget=1e12)
+        mixing.mix_sources(full.withColumn("source", F.lit(1)))
     with pytest.raises(ValueError):
         sharding.assign_shards(full, {"a": {"b": {"c": -1}}})
 
