@@ -25,6 +25,8 @@ SHINGLE_WORDS = 3
 THRESHOLD = 0.5
 #: A pair is verified exactly if its estimate is at most this much below the threshold.
 MARGIN = 0.15
+#: Most members of a bucket, about, that one group of a task holds; larger buckets are cut into so many parts.
+PART = 4096
 #: Members of a bucket on each side of a tile, the unit in which a bucket's further pairs are verified.
 TILE = 64
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -100,8 +102,8 @@ def _signatures(m: int, k: int):
                 continue
             keep = np.concatenate(has)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__id"), batch.column("__key"), pa.array(np.concatenate(out_hash)), pa.array(out_sig, pa.binary())],
-                names=["id", "key", "content", "sig"],
+                [batch.column("__id"), batch.column("__key"), batch.column("__doc"), pa.array(np.concatenate(out_hash)), pa.array(out_sig, pa.binary())],
+                names=["id", "key", "doc", "content", "sig"],
             ).filter(pa.array(keep))
 
     return lean(run)
@@ -195,30 +197,38 @@ def _propose(m: int, least: float):
             b.append(key[s + pairs[:, 1]])
         yield _edges(np.concatenate(a), np.concatenate(b))
 
-    return _by_group(emit, "bucket", "key", "sig")
+    return _by_group(emit, "part", "key", "sig")
 
 
 def _unjoined(m: int, least: float, tile: int):
-    """All pairs of each bucket that the estimate admits and that no verified edges join yet, with the tile of each."""
+    """Pairs of each group that the estimate admits and that no verified edges join yet, with the tile of each.
 
-    def emit(bucket: list, key: list, label: list, raw: list[bytes]) -> Iterator[pa.RecordBatch]:
-        bucket, key, label = np.array(bucket), np.array(key), np.array(label)
+    A group holds one part of a bucket, of which all pairs are taken, or two, of which those across are.
+    """
+
+    def emit(group: list, side: list, key: list, label: list, raw: list[bytes]) -> Iterator[pa.RecordBatch]:
+        group, side, key, label = np.array(group), np.array(side), np.array(key), np.array(label)
         sig = np.frombuffer(b"".join(raw), dtype=np.uint16).reshape(-1, m)
-        cuts = _cuts(bucket)
+        cuts = _cuts(group)
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            for i in range(s, e, tile):
-                for j in range(i, e, tile):
-                    x, y = slice(i, min(i + tile, e)), slice(j, min(j + tile, e))
-                    open_ = (label[x, None] != label[None, y]) & ((sig[x, None] == sig[None, y]).mean(axis=2) >= least)
+            middle = s + int(np.searchsorted(side[s:e], side[s], side="right"))
+            first, second = ((s, e), (s, e)) if middle == e else ((s, middle), (middle, e))
+            for i in range(*first, tile):
+                for j in range(i if middle == e else second[0], second[1], tile):
+                    x, y = slice(i, min(i + tile, first[1])), slice(j, min(j + tile, second[1]))
+                    open_ = label[x, None] != label[None, y]
+                    if not open_.any():
+                        continue
+                    open_ &= (sig[x, None] == sig[None, y]).mean(axis=2) >= least
                     a, b = np.nonzero(np.triu(open_, 1) if i == j else open_)
                     if not len(a):
                         continue
-                    place = np.array([bucket[s], (i - s) // tile, (j - s) // tile], dtype=np.int64).view(U64)
+                    place = np.array([group[s], i - s, j - s], dtype=np.int64).view(U64)
                     name = mix64(mix64(place[:1] + place[1:2] * U64(_GOLDEN)) + place[2:] * U64(_GOLDEN)).view(np.int64)
                     pairs = _edges(key[i + a], key[j + b])
                     yield pa.RecordBatch.from_arrays([*pairs.columns, pa.array(np.repeat(name, len(a)))], names=["u", "v", "tile"])
 
-    return _by_group(emit, "bucket", "key", "label", "sig")
+    return _by_group(emit, "group", "side", "key", "label", "sig")
 
 
 def _shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
@@ -263,50 +273,86 @@ def _verify_tiles(k: int, threshold: float):
     return _by_group(emit, "tile", "key", "text", "others")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, slots: int = SLOTS, rows_per_band: int = ROWS_PER_BAND, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """Documents that have near copies: key, id, root (key of the one that stays), root_id, size.
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, slots: int = SLOTS, rows_per_band: int = ROWS_PER_BAND, shingle_words: int = SHINGLE_WORDS, part: int = PART) -> DataFrame:
+    """Documents that have near copies: key, id, doc (the table's own id), root (key of the one that stays), root_doc, size.
 
     Two documents are joined if the exact Jaccard similarity of their sets of shingle_words-word
     shingles is at least `threshold` and one band of their signatures agrees, unless the share of equal slots is more than
     MARGIN below it; groups are the connected components, and the member with the least id stays. Texts that agree in
     their words are joined whatever their length. NULL and empty texts, and those without a word,
-    have no copies. Rows that agree in id and text are one document.
+    have no copies. Rows that agree in id and text are one document. Ids that aren't integral are ordered by their hash, NULL ids come
+    last. Texts of any length are taken whole; equal estimates don't matter, as all pairs that are admitted count.
+    Buckets of more than `part` members are cut into parts, first joined within each, then across.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    base, _ = with_keys(docs, id_col, text_col)
-    base = base.select("__id", "__key", "__text")
-    sig = scratch.save(base.mapInArrow(_signatures(slots, shingle_words), "id bigint, key bigint, content bigint, sig binary"))
+    base, names = with_keys(docs, id_col, text_col)
+    base = base.select("__id", "__key", F.col(f"__p{names.index(id_col)}").alias("__doc"), "__text")
+    kind = base.schema["__doc"].dataType.simpleString()
+    sig = scratch.save(base.mapInArrow(_signatures(slots, shingle_words), f"id bigint, key bigint, doc {kind}, content bigint, sig binary"))
     # exact copies: all but the least of each content leave before banding
     firsts = sig.groupBy("content").agg(F.min(F.struct("id", "key")).alias("r"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("content", F.col("r.key").alias("v"))
     firsts = scratch.save(firsts)
     exact = scratch.save(sig.select("key", "content").join(small(firsts, 32), "content").where("key <> v").select(F.col("key").alias("u"), "v").distinct())
     reps = sig.join(small(exact.select(F.col("u").alias("key")), 24), "key", "left_anti")
     bands = reps.select("key", "sig").mapInArrow(_bands(slots, rows_per_band), "band bigint, key bigint")
-    shared = bands.groupBy("band").agg(F.collect_set("key").alias("members")).where(F.size("members") > 1)
-    buckets = scratch.save(shared.select(F.array_sort("members").alias("members")).distinct())
-    member = buckets.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("key"))
+    # bands that hold the same documents are one bucket; what they hold is compared by hashes, so no list of members is built
+    marks = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"))
+    buckets = scratch.save(marks.where("lo <> hi").groupBy("n", "x", "y", "lo", "hi").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / part).alias("parts")))
+    member = bands.join(small(buckets, 40), "band").select(F.col("band").alias("bucket"), "key", "parts", F.pmod(F.xxhash64("key", "band"), F.col("parts")).alias("side"))
+    member = scratch.save(member.distinct())
     wanted = scratch.save(member.select("key").distinct())
     picked = scratch.save(sig.select("key", "sig").join(small(wanted, 24), "key", "left_semi").dropDuplicates(["key"]))
-    rows = member.join(small(picked, 2 * slots + 40), "key").repartition("bucket").sortWithinPartitions("bucket", "key")
-    proposed = rows.select("bucket", "key", "sig").mapInArrow(_propose(slots, threshold - MARGIN), "u bigint, v bigint").distinct()
-    proposed = scratch.save(proposed)
-    ends = proposed.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    ends = scratch.save(ends)
-    texts = base.select(F.col("__key").alias("key"), F.col("__text").alias("text")).join(small(ends, 24), "key", "left_semi").dropDuplicates(["key"])
-    texts = scratch.save(texts)
-    pairs = proposed.join(texts.select(F.col("key").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("key").alias("v"), F.col("text").alias("b")), "v")
-    sure = scratch.save(pairs.select("u", "v", "a", "b").mapInArrow(_verify(shingle_words, threshold), "u bigint, v bigint"))
+
+    def grouped(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.join(small(picked, 2 * slots + 40), "key").repartition(by[0]).sortWithinPartitions(*by, "key")
+
+    of_part = F.when(F.col("parts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", "side")).alias("part")
+    propose = _propose(slots, threshold - MARGIN)
+    proposed = scratch.save(grouped(member.select(of_part, "key"), "part").select("part", "key", "sig").mapInArrow(propose, "u bigint, v bigint").distinct())
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are similar by their texts."""
+        ends = scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct())
+        texts = base.select(F.col("__key").alias("key"), F.col("__text").alias("text")).join(small(ends, 24), "key", "left_semi").dropDuplicates(["key"])
+        texts = scratch.save(texts)
+        both = pairs.join(texts.select(F.col("key").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("key").alias("v"), F.col("text").alias("b")), "v")
+        out = scratch.save(both.select("u", "v", "a", "b").mapInArrow(_verify(shingle_words, threshold), "u bigint, v bigint"))
+        scratch.drop(ends, texts)
+        return out
+
+    sure = verified(proposed)
     # a failed edge may have stood in for pairs of its bucket that the tree then left out
     failed = scratch.save(proposed.join(sure, ["u", "v"], "left_anti"))
-    if not failed.isEmpty():
-        joined = components(sure, scratch).select(F.col("u").alias("key"), F.col("v").alias("label"))
+    hot = not buckets.where("parts > 1").isEmpty()
+    if hot or not failed.isEmpty():
+        labels = components(sure, scratch).select(F.col("u").alias("key"), F.col("v").alias("label"))
+
+        def labelled(rows: DataFrame) -> DataFrame:
+            return rows.join(small(labels, 40), "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+        # buckets of several parts: the least member of each component stands for it, until the parts hold one component or none joins another
+        while hot:
+            leads = labelled(member.where("parts > 1")).groupBy("bucket", "label").agg(F.min("key").alias("key"))
+            leads = scratch.save(leads.select("bucket", "key"))
+            sizes = scratch.save(leads.groupBy("bucket").agg(F.ceil(F.count("*") / part).alias("parts"), F.count("*").alias("n")).where("n > 1"))
+            leads = leads.join(small(sizes, 40), "bucket").withColumn("side", F.pmod(F.xxhash64("key", "bucket", "n"), F.col("parts")))
+            tried = scratch.save(grouped(leads.select(of_part, "key"), "part").select("part", "key", "sig").mapInArrow(propose, "u bigint, v bigint").distinct().join(failed, ["u", "v"], "left_anti"))
+            new = verified(tried)
+            failed = scratch.save(failed.unionByName(tried.join(new, ["u", "v"], "left_anti")))
+            if new.isEmpty():
+                break
+            sure = scratch.save(sure.unionByName(new))
+            labels = components(sure, scratch).select(F.col("u").alias("key"), F.col("v").alias("label"))
         fails = scratch.save(failed.select(F.explode(F.array("u", "v")).alias("key")).distinct().withColumn("fails", F.lit(1)))
-        labelled = member.join(small(joined, 40), "key", "left").join(small(fails, 24), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"), "fails")
-        labelled = scratch.save(labelled)
-        torn = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.count("fails").alias("bad"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 2 AND bad > 1 AND lo <> hi").select("bucket")
-        again = labelled.join(small(scratch.save(torn), 24), "bucket", "left_semi").join(small(picked, 2 * slots + 40), "key").repartition("bucket").sortWithinPartitions("bucket", "key")
-        more = again.select("bucket", "key", "label", "sig").mapInArrow(_unjoined(slots, threshold - MARGIN, TILE), "u bigint, v bigint, tile bigint")
+        rows = scratch.save(labelled(member).join(small(fails, 24), "key", "left"))
+        torn = rows.groupBy("bucket", "parts").agg(F.count("*").alias("n"), F.count("fails").alias("bad"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi AND (parts > 1 OR n > 2 AND bad > 1)").select("bucket")
+        again = rows.join(small(scratch.save(torn), 24), "bucket", "left_semi")
+        # each part meets itself and every other one
+        other = again.select("bucket", "side", "key", "label", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other"))
+        group = F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other")).alias("group")
+        again = grouped(other.select(group, "side", "key", "label"), "group", "side")
+        more = again.select("group", "side", "key", "label", "sig").mapInArrow(_unjoined(slots, threshold - MARGIN, TILE), "u bigint, v bigint, tile bigint")
         more = scratch.save(more.groupBy("u", "v").agg(F.min("tile").alias("tile")).join(failed, ["u", "v"], "left_anti"))
         sides = more.select("tile", F.col("u").alias("key"), F.col("v").alias("other")).unionByName(more.select("tile", F.col("v").alias("key"), F.lit(None).cast("bigint").alias("other")))
         sides = scratch.save(sides.groupBy("tile", "key").agg(F.collect_list("other").alias("others")))
@@ -314,15 +360,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         bodies = scratch.save(base.select(F.col("__key").alias("key"), F.col("__text").alias("text")).join(small(needed, 24), "key", "left_semi").dropDuplicates(["key"]))
         tiles = sides.join(bodies, "key").repartition("tile").sortWithinPartitions("tile", "key")
         found = scratch.save(tiles.select("tile", "key", "text", "others").mapInArrow(_verify_tiles(shingle_words, threshold), "u bigint, v bigint"))
-        scratch.drop(fails, labelled, more, sides, needed, bodies)
+        scratch.drop(fails, rows, more, sides, needed, bodies)
         linked = components(exact.unionByName(sure).unionByName(found), scratch)
     else:
         linked = components(exact.unionByName(sure), scratch)
-    scratch.drop(buckets, picked, texts, ends, proposed, wanted, failed)
+    scratch.drop(buckets, member, picked, proposed, wanted, failed)
     nodes = linked.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(linked.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct())
-    ids = sig.select("id", "key").join(small(scratch.save(nodes), 40), "key").distinct()
-    lead = ids.groupBy("root").agg(F.min(F.struct("id", "key")).alias("least"), F.count("*").alias("size"))
-    out = ids.join(lead, "root").select("key", "id", F.col("least.key").alias("root"), F.col("least.id").alias("root_id"), "size")
+    ids = sig.select("id", "key", "doc").join(small(scratch.save(nodes), 40), "key").distinct()
+    lead = ids.groupBy("root").agg(F.min(F.struct("id", "key", "doc")).alias("least"), F.count("*").alias("size"))
+    out = ids.join(lead, "root").select("key", "id", "doc", F.col("least.key").alias("root"), F.col("least.doc").alias("root_doc"), "size")
     out = scratch.save(out)
     scratch.drop(sig, firsts, exact, sure)
     return out
@@ -331,12 +377,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """Report: doc_id, group_id (least doc_id of its group), group_size, keep; one row per document that has near copies.
 
-    See near_duplicate_groups for NULL, empty and repeated rows. A NULL id is returned as NULL.
+    See near_duplicate_groups for NULL, empty, very long and repeated rows. Ids are the table's own, of any type. Other columns don't matter.
     An empty table gives an empty report.
     """
     g = near_duplicate_groups(docs, id_col, text_col, **params)
-    null = F.lit((1 << 63) - 1)
-    return g.select(F.nullif("id", null).alias("doc_id"), F.nullif("root_id", null).alias("group_id"), F.col("size").alias("group_size"), (F.col("key") == F.col("root")).alias("keep"))
+    return g.select(F.col("doc").alias("doc_id"), F.col("root_doc").alias("group_id"), F.col("size").alias("group_size"), (F.col("key") == F.col("root")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:

@@ -81,8 +81,8 @@ def template_family(n=150, planted=30):
     return [f"{passage} {' '.join(w)}" for w in own]
 
 
-@pytest.mark.parametrize("tile", [64, 7])
-def test_pairs_within_a_template_family_are_found(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "part"), [(64, minhash.PART), (7, 20)])
+def test_pairs_within_a_template_family_are_found(spark, monkeypatch, tile, part):
     monkeypatch.setattr(minhash, "TILE", tile, raising=False)
     texts = template_family()
     w = Words(texts)
@@ -97,7 +97,7 @@ def test_pairs_within_a_template_family_are_found(spark, monkeypatch, tile):
     assert len(edges) >= 25
     want = joined(edges, range(len(texts)))
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
-    got = {r.doc_id: r.group_id for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.doc_id: r.group_id for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), part=part).collect()}
     assert {i: got.get(i, i) for i in range(len(texts))} == want
 
 
@@ -134,3 +134,24 @@ def test_words_follow_unicode():
     assert w.off.tolist() == [0, 3, 3, 5]
     assert w.hash[0] == w.hash[4]
     assert w.start.tolist() == [0, 4, 8, 0, 2] and w.end.tolist() == [3, 7, 9, 1, 5]
+
+
+def test_a_bucket_of_many_near_copies_is_one_group(spark):
+    rng = random.Random(3)
+    base = invented(rng, 120, 10_000).split()
+    rows = []
+    for i in range(2000):
+        w = base[:]
+        w[rng.randrange(120)] = f"u{i}x"
+        rows.append((f"id-{i:05d}", " ".join(w)))
+    rows += [(None, invented(rng, 100, 10_000)), ("alone", invented(rng, 100, 10_000))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), part=150).collect()
+    assert len(got) == 2000 and {r.group_size for r in got} == {2000} and sum(r.keep for r in got) == 1
+    assert {r.doc_id for r in got} == {r[0] for r in rows[:2000]} and len({r.group_id for r in got}) == 1
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    long = invented(rng, 300_000, 100_000)
+    got = minhash.near_duplicates(spark.createDataFrame([(1, long), (2, long + " end"), (3, "short text")], "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.group_id) for r in got) == [(1, 1), (2, 1)]
