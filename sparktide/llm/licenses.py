@@ -177,11 +177,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     coverage is matched words over the template's words. A document can have several matches, also of several
     templates, and of one template at several places; a match within that of another template which matches more words and
     is covered no less isn't reported ("CC BY 4.0" fits a notice of "CC BY-NC 4.0" but for one word). Offsets count code points. NULL and
-    empty texts have none; repeated rows are reported each. A template needs 3 words or more.
+    empty texts have none; texts of any length are read whole; repeated rows are reported each. Ids of any type, NULL too, are given as they are.
+    Of alignments that score alike the one that ends first is reported. Other columns don't matter; an empty table gives no rows.
+    A template needs 3 words or more.
     """
     index = Index(templates or TEMPLATES)
-    d = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), "text")
-    return d.mapInArrow(_scan(index, min_coverage), "doc_id bigint, license string, coverage double, matched_words int, start_char int, end_char int")
+    d = pick(docs, id=id_col, text=text_col).select("id", F.col("text").cast("string").alias("text"))
+    kind = d.schema["id"].dataType.simpleString()
+    return d.mapInArrow(_scan(index, min_coverage), f"doc_id {kind}, license string, coverage double, matched_words int, start_char int, end_char int")
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:

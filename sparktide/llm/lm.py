@@ -246,11 +246,12 @@ def _score(model):
 def perplexity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, log_prob (natural), perplexity (per byte, the end included); one row per row of docs.
 
-    A NULL text gives NULLs; an empty one is scored for its end alone. An empty table gives no rows.
+    A NULL text gives NULLs; an empty one is scored for its end alone; texts of any length are scored whole, repeated rows each.
+    Ids of any type, NULL too, are given as they are. Other columns don't matter. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    d = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), "text")
-    return d.mapInArrow(_score(shared), "id bigint, n bigint, lp double, pp double").toDF("doc_id", "n_bytes", "log_prob", "perplexity")
+    d = pick(docs, id=id_col, text=text_col).select("id", F.col("text").cast("string").alias("text"))
+    return d.mapInArrow(_score(shared), f"id {d.schema['id'].dataType.simpleString()}, n bigint, lp double, pp double").toDF("doc_id", "n_bytes", "log_prob", "perplexity")
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,10 +190,11 @@ def fit(texts: list[str], labels: np.ndarray, max_features: int = MAX_FEATURES,
     return Model(table.hashes, w, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = SAMPLE_TOXIC, most_clean: int = SAMPLE_CLEAN) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = SAMPLE_TOXIC, most_clean: int = SAMPLE_CLEAN, max_features: int = MAX_FEATURES) -> Model:
     """Model fitted on labelled documents: of each label the documents with the least hashed ids, up to a bound.
 
-    Labels without an id or a label are left out; of several labels of an id the largest counts.
+    At most most_toxic and most_clean documents are fitted on, and of their features the max_features of the highest G statistic
+    are kept, chosen from buckets of features in twice that number. Labels without an id or a label are left out; of several labels of an id the largest counts.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -204,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((i, t or "", bool(y)) for b in batches for i, y, t in zip(b.column("id").to_pylist(), b.column("y").to_pylist(), b.column("text").to_pylist(), strict=True))
-        model = fit([r[1] for r in rows], np.array([r[2] for r in rows], dtype=bool))
+        model = fit([r[1] for r in rows], np.array([r[2] for r in rows], dtype=bool), max_features)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(model.hashes, U64(0)).view(np.int64)), pa.array(np.append(model.weights, model.bias)), pa.array([False] * len(model.hashes) + [True])], names=["h", "w", "bias"])
 
     saved = scratch.save(texts.repartition(1).mapInArrow(lean(run), "h bigint, w double, bias boolean"))
@@ -216,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(h[~bias].view(U64), w[~bias], w[bias][0])
 
 
-_ROW = "id bigint, toxicity double, sentence int, start_char int, end_char int, score double"
+_ROW = "toxicity double, sentence int, start_char int, end_char int, score double"
 
 
 def _locate(model, threshold: float):
@@ -249,10 +250,12 @@ def toxic_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     A document is toxic if its toxicity is at least threshold; its offending sentences are those whose own score is, or
     else the one that scores highest. Offsets count code points, from the first word to the last of the sentence;
     sentences are numbered from 0 among those with a word. Texts that are NULL, empty or without a word have
-    toxicity 0. Each of repeated rows is reported.
+    toxicity 0; texts of any length are scored whole. Each of repeated rows is reported. Ids of any type, NULL too, are given as they are.
+    Of sentences that score alike the first is the one that scores highest. Other columns don't matter; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES features
-    rows = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), "text").mapInArrow(_locate(shared, threshold), _ROW)
+    d = pick(docs, id=id_col, text=text_col).select("id", F.col("text").cast("string").alias("text"))
+    rows = d.mapInArrow(_locate(shared, threshold), f"id {d.schema['id'].dataType.simpleString()}, {_ROW}")
     return rows.withColumnRenamed("id", "doc_id")
 
 
