@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +33,22 @@ def term_counts(tok: DataFrame) -> DataFrame:
     return tok.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def count_terms(docs: DataFrame) -> DataFrame:
+    """(doc_id, term, tf) of documents (doc_id, tokens), each counted in its row: no shuffle. Ids must be distinct."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("tokens")
+            words = tokens.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(tokens)), np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)))
+            both, n = np.unique(row * max(1, len(words.dictionary)) + np.asarray(words.indices, dtype=np.int64), return_counts=True)
+            at, term = np.divmod(both, max(1, len(words.dictionary)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), words.dictionary.take(pa.array(term)), pa.array(n)], names=["doc_id", "term", "tf"])
+
+    return docs.select("doc_id", "tokens").mapInArrow(run, f"doc_id {kind}, term string, tf bigint")
+
+
 def document_frequency(tf: DataFrame) -> DataFrame:
     """(term, df) of per-document counts."""
     return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -80,13 +101,14 @@ def best_pair(pairs: DataFrame, score: Column | str = "freq", least: int = 2) ->
 
 
 def merge_pair(tokens: Column, w1: Column, w2: Column, new: Column) -> Column:
-    """A token array with each w1, w2 in a row replaced by new, from the left, without overlap."""
-
-    def add(acc: Column, x: Column) -> Column:
-        hit = (F.size(acc) > 0) & (F.element_at(acc, -1) == w1) & (x == w2)
-        return F.when(hit, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(new))).otherwise(F.concat(acc, F.array(x)))
+    """A token array with each w1, w2 in a row replaced by new, from the left, without overlap. Tokens hold no \\x01.
 
-    return F.aggregate(tokens, F.array().cast("array<string>"), add)
+    Linear in the length: tokens are joined between marks, and the pair is replaced in the string.
+    """
+    mark = F.lit("\x01")
+    text = F.concat(mark, F.array_join(tokens, "\x01\x01"), mark)
+    merged = F.replace(text, F.concat(mark, w1, mark, mark, w2, mark), F.concat(mark, new, mark))
+    return F.when(F.size(tokens) > 0, F.split(F.substring(merged, F.lit(2), F.length(merged) - 2), "\x01\x01")).otherwise(tokens)
 
 
 def auto_ngram_count(vocab_size: Column, k: float = 0.5) -> Column:
@@ -106,9 +128,9 @@ def fit_merges(docs: DataFrame, merges: int, least: int = 2, method: str = "bpe"
         tok = explode_tokens(docs)
         pairs = pair_counts(tok)
         if method == "wordpiece":
-            best = best_pair(pair_likelihood(pairs, token_frequency(tok)), "score", least).first()
+            best = best_pair(pair_likelihood(pairs, token_frequency(tok)), F.round(F.col("score"), 12), least).first()
         elif use_pmi:
-            best = best_pair(pair_pmi(pairs, token_frequency(tok)), F.col("pmi") * F.log2(F.col("freq") + 1), least).first()
+            best = best_pair(pair_pmi(pairs, token_frequency(tok)), F.round(F.col("pmi") * F.log2(F.col("freq") + 1), 9), least).first()
         else:
             best = best_pair(pairs, "freq", least).first()
         if best is None:

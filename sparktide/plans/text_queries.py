@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..operators import rows as R
 from ..operators import vocab as V
 from ..operators import weights as G
-from .base import FREQ, LEN, PAIRS, TF, TOK, documents, out, table, tok, tokenized
+from .base import counted, FREQ, LEN, PAIRS, TF, TOK, documents, out, table, tok, tokenized
 from .registry import query
 
 # input rows
@@ -194,12 +194,12 @@ def _(s, d):
 
 @query("doc_freq", f"WITH {TF} SELECT term, df FROM dfs")
 def _(s, d):
-    return V.document_frequency(V.term_counts(tok(s, d)))
+    return V.document_frequency(counted(s, d))
 
 
 @query("term_counts", f"WITH {TF} SELECT doc_id, term, tf FROM tf")
 def _(s, d):
-    return V.term_counts(tok(s, d))
+    return counted(s, d)
 
 
 @query("inverted_index", f"WITH {TOK} SELECT term, list_sort(list_distinct(list(doc_id))) AS docs FROM tok GROUP BY term")
@@ -313,13 +313,13 @@ for _scheme, _w in {
     "log": "1 + log2(tf)",
     "log_ratio": "(1 + log2(tf)) / (1 + log2((1 + sum(tf) OVER (PARTITION BY doc_id))::DOUBLE / (1 + count(*) OVER (PARTITION BY doc_id))))",
 }.items():
-    query(f"tf_{_scheme}", _weight_sql(_w))(lambda s, d, k=_scheme: out(G.tf_weight(V.term_counts(tok(s, d)), k)))
+    query(f"tf_{_scheme}", _weight_sql(_w))(lambda s, d, k=_scheme: out(G.tf_weight(counted(s, d), k)))
 
 
 @query("idf_all", f"""WITH {LEN} SELECT term, df, round(log2(n / df::DOUBLE) + 1, 6) AS plain, round(log2((1 + n) / df::DOUBLE), 6) AS smooth, round(log2((n - df + 1) / (df + 1)::DOUBLE), 6) AS prob,
 round(log2((n - df + 0.5) / (df + 0.5)), 6) AS bm25 FROM dfs, stats""")
 def _(s, d):
-    t = V.document_frequency(V.term_counts(tok(s, d))).crossJoin(F.broadcast(documents(s, d).agg(F.count(F.lit(1)).alias("n"))))
+    t = V.document_frequency(counted(s, d)).crossJoin(F.broadcast(documents(s, d).agg(F.count(F.lit(1)).alias("n"))))
     return out(t.select("term", "df", *[G.idf(F.col("df"), F.col("n"), k).alias(k) for k in ("plain", "smooth", "prob", "bm25")]))
 
 
@@ -330,29 +330,29 @@ _JOINED = "tf JOIN dfs USING (term) JOIN lens USING (doc_id), stats"
 @query("pivot_norm", f"WITH {LEN} SELECT doc_id, len, round({_PIVOT}, 6) AS norm FROM lens, stats")
 def _(s, d):
     docs = documents(s, d)
-    x = G.document_lengths(docs, V.term_counts(tok(s, d)))
+    x = G.document_lengths(docs, counted(s, d))
     return out(x.select("doc_id", "len", G.pivot_norm(F.col("len"), F.col("avg_len")).alias("norm")))
 
 
 @query("tfidf_en", f"WITH {LEN} SELECT doc_id, term, round(log2((1 + n) / df::DOUBLE) / {_PIVOT}, 6) AS w FROM {_JOINED}")
 def _(s, d):
-    return out(G.tfidf(documents(s, d), V.term_counts(tok(s, d))))
+    return out(G.tfidf(documents(s, d), counted(s, d)))
 
 
 @query("tfidf_tr_formula", f"WITH {LEN}, x AS (SELECT doc_id, term, log2((n - df + 1) / (df + 1)::DOUBLE) / {_PIVOT} AS w FROM {_JOINED}) SELECT doc_id, term, round(w, 6) AS w FROM x WHERE w <> 0")
 def _(s, d):
-    return out(G.tfidf(documents(s, d), V.term_counts(tok(s, d)), idf_scheme="prob"))
+    return out(G.tfidf(documents(s, d), counted(s, d), idf_scheme="prob"))
 
 
 @query("tfidf_log_tf", f"WITH {LEN} SELECT doc_id, term, round((1 + log2(tf)) * log2((1 + n) / df::DOUBLE), 6) AS w FROM {_JOINED}")
 def _(s, d):
-    return out(G.tfidf(documents(s, d), V.term_counts(tok(s, d)), tf_scheme="log", slope=-1))
+    return out(G.tfidf(documents(s, d), counted(s, d), tf_scheme="log", slope=-1))
 
 
 @query("pagerank_tfidf", f"WITH {LEN} SELECT doc_id, term, round(log2((1 + n) / df::DOUBLE) / {_PIVOT} * (1 + doc_id % 17), 6) AS w FROM {_JOINED}")
 def _(s, d):
     docs = documents(s, d)
-    return out(G.tfidf(docs, V.term_counts(tok(s, d)), weights=docs.select("doc_id", (1 + F.col("doc_id") % 17).alias("weight"))))
+    return out(G.tfidf(docs, counted(s, d), weights=docs.select("doc_id", (1 + F.col("doc_id") % 17).alias("weight"))))
 
 
 _BM25 = "log2((n - df + 0.5) / (df + 0.5)) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * len / avg_len))"
@@ -361,20 +361,20 @@ _BM25 = "log2((n - df + 0.5) / (df + 0.5)) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 +
 @query("bm25", f"""WITH {TF}, lens AS (SELECT d.doc_id, coalesce(l.len, 0) AS len FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS len FROM tf GROUP BY doc_id) l USING (doc_id)),
 stats AS (SELECT avg(len) AS avg_len, count(*) AS n FROM lens) SELECT doc_id, term, round({_BM25.format(tf='1')}, 6) AS w FROM {_JOINED}""")
 def _(s, d):
-    return out(G.bm25(documents(s, d), V.term_counts(tok(s, d))))
+    return out(G.bm25(documents(s, d), counted(s, d)))
 
 
 @query("bm25_counts", f"WITH {LEN} SELECT doc_id, term, round({_BM25.format(tf='tf')}, 6) AS w FROM {_JOINED}")
 def _(s, d):
-    return out(G.bm25(documents(s, d), V.term_counts(tok(s, d)), binary=False))
+    return out(G.bm25(documents(s, d), counted(s, d), binary=False))
 
 
 @query("matrix_stats", f"""WITH {TF}, a AS (SELECT count(DISTINCT doc_id) AS n_docs FROM documents), b AS (SELECT count(DISTINCT term) AS n_terms, count(*) AS nnz FROM tf)
 SELECT n_docs, n_terms, nnz, round(nnz / (n_docs * n_terms)::DOUBLE, 6) AS density, floor(nnz / (n_docs + n_terms)::DOUBLE)::BIGINT AS max_rank FROM a, b""")
 def _(s, d):
-    return out(G.matrix_stats(documents(s, d), V.term_counts(tok(s, d))))
+    return out(G.matrix_stats(documents(s, d), counted(s, d)))
 
 
 @query("l2_rows", _weight_sql("tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id))"))
 def _(s, d):
-    return out(G.normalize(V.term_counts(tok(s, d)).withColumn("w", F.col("tf").cast("double")).drop("tf"), ["doc_id"]))
+    return out(G.normalize(counted(s, d).withColumn("w", F.col("tf").cast("double")).drop("tf"), ["doc_id"]))

@@ -14,7 +14,7 @@ from ..operators import temporal as M
 from ..operators import topics as P
 from ..operators import vocab as V
 from ..operators import weights as G
-from .base import FREQ, H_SQL, S_SQL, TIMES_SQL, W_SQL, documents, out, pseudo_h, pseudo_s, pseudo_w, table, times, tok, tokenized
+from .base import counted, FREQ, H_SQL, S_SQL, TIMES_SQL, W_SQL, documents, out, pseudo_h, pseudo_s, pseudo_w, table, times, tok, tokenized
 from .registry import query
 
 _TOP = "SELECT topic_id::BIGINT AS topic_id, rank, {cols} FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY weight DESC, {key}) AS rank FROM {t} WHERE weight > 0) WHERE rank <= {n}"
@@ -268,7 +268,7 @@ e AS (SELECT sum(pow(coalesce(v, 0) - r, 2)) AS sq_error, sum(pow(coalesce(v, 0)
 SELECT round(sq_error, 2) AS sq_error, round(sqrt(sq_error / vv), 2) AS relative, round(1 - sq_error / vv, 2) AS explained FROM e""")
 def _(s, d):
     h = pseudo_h(s, d)
-    v = V.term_counts(tok(s, d)).join(h.select("term").distinct(), "term", "left_semi").select("doc_id", "term", F.col("tf").cast("double").alias("w"))
+    v = counted(s, d).join(h.select("term").distinct(), "term", "left_semi").select("doc_id", "term", F.col("tf").cast("double").alias("w"))
     return out(P.reconstruction(v, pseudo_w(s, d), h), 2)
 
 
@@ -404,7 +404,7 @@ def _(s, d):
 
 
 def _weights(s, d):
-    return G.tfidf(documents(s, d), V.term_counts(tok(s, d)))
+    return G.tfidf(documents(s, d), counted(s, d))
 
 
 @query("flagship_topics")
