@@ -90,7 +90,7 @@ def run_topic_analysis(spark: SparkSession, filepath: str | None = None, datafra
         n = o.merges or vocab.token_frequency(vocab.explode_tokens(words)).agg(F.count("*").alias("v")).select(vocab.auto_ngram_count(F.col("v"))).first()[0]
         words, merges = vocab.fit_merges(words, n, method=o.ngrams)
     tok = vocab.explode_tokens(words)
-    matrix = weights.tfidf(words, vocab.term_counts(tok), "prob" if o.language.upper() == "TR" else "smooth", weights=docs.select("doc_id", "weight") if o.weight_col else None)
+    matrix = weights.tfidf(words, checkpointed(vocab.count_terms(words)), "prob" if o.language.upper() == "TR" else "smooth", weights=docs.select("doc_id", "weight") if o.weight_col else None)
     matrix = checkpointed(matrix)
     found = factorize.factorize(matrix, o.topics, o.method, o.threshold, o.rounds)
     top = topics.merged_top_words(found.h, o.words_per_topic, o.merge_threshold) if o.merge_threshold else topics.top_words(found.h, o.words_per_topic)
@@ -98,9 +98,10 @@ def run_topic_analysis(spark: SparkSession, filepath: str | None = None, datafra
     k = found.h.agg(F.max("topic_id")).first()[0]
     pairs = coherence.document_pairs(tok, top)
     umass = coherence.u_mass(pairs, docs.agg(F.count("*").alias("n")))
+    cv = coherence.c_v(tok, top)
     return TopicResult(
         options=o, warning=warning, texts=texts, documents=words, merges=merges, matrix=matrix, factors=found, words=top, dominant=best,
-        top_documents=topics.top_documents(found.w, texts, o.top_documents), relevance=topics.relevance(found.h, found.w), coherence=umass,
+        top_documents=topics.top_documents(found.w, texts, o.top_documents), relevance=topics.relevance(found.h, found.w), coherence=umass, c_v=cv,
         diversity=topics.overall_diversity(top), periods=temporal.count_distribution(best, docs.select("doc_id", "ts"), k, o.grain) if o.datetime_col else None,
     )
 
@@ -111,7 +112,7 @@ def run_optimization(spark: SparkSession, dataframe: DataFrame, column: str, lea
     readers.check_inputs(None, dataframe, column, o.language, least, o.method)
     docs = checkpointed(prepare(dataframe, column, o).select("doc_id", "tokens"))
     tok = vocab.explode_tokens(docs)
-    matrix = checkpointed(weights.tfidf(docs, vocab.term_counts(tok)))
+    matrix = checkpointed(weights.tfidf(docs, checkpointed(vocab.count_terms(docs))))
     curve = []
     for k in range(least, most + 1, step):
         found = factorize.factorize(matrix, k, o.method, o.threshold, o.rounds)

@@ -46,7 +46,7 @@ def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
     right = [y for y, t in zip(b, taken, strict=True) if t]
     if not left:
         return 0.0
-    m, swaps = len(left), sum(x != y for x, y in zip(left, right, strict=True)) / 2
+    m, swaps = len(left), sum(x != y for x, y in zip(left, right, strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     prefix = 0
     for x, y in zip(a[:4], b[:4], strict=False):

@@ -1,5 +1,6 @@
 """Factorization of a document-term table, on one node where it is small and in blocks where it isn't.
 
+Both take the same start (NNDSVD), the same steps and the same stop rule, so that the size of a table doesn't decide its topics.
 In blocks: documents are hashed into blocks, each block's non-zeros are one row of packed arrays, and a
 round is one job. A task reads its block and the block's W of the round before from the shared folder, updates
 W with the broadcast H, writes it beside the old one, and gives its parts of W'W and W'V, which are summed
@@ -12,18 +13,19 @@ import io
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .shared import checkpointed, ordered_ids
+from .shared import checkpointed, ordered_ids, scratch_root
 
 #: Non-zeros up to which the table is gathered and solved on the driver.
 LOCAL_NNZ = 5_000_000
 BLOCK_DOCS = 20_000
+#: Most rounds of each method.
+MOST = {"nmf": 10_000, "pnmf": 1000, "opnmf": 5000, "nmtf": 1000}
 COLUMN_RANGE = 65_536
 
 
@@ -46,7 +48,7 @@ def factorize(v: DataFrame, k: int, method: str = "nmf", threshold: float = 0.00
     """Factors of v (doc_id, term, w) by nmf, pnmf, opnmf or nmtf.
 
     Ids order documents and terms, so the result doesn't depend on the order of rows. k = -1 takes floor(nnz / (docs + terms)).
-    Above local_nnz non-zeros nmf runs in blocks; the others, whose stop rules need a whole W, are refused there.
+    Above local_nnz non-zeros the same steps run in blocks.
     """
     spark = v.sparkSession
     if method not in ("nmf", "pnmf", "opnmf", "nmtf"):
@@ -55,26 +57,25 @@ def factorize(v: DataFrame, k: int, method: str = "nmf", threshold: float = 0.00
     if nnz == 0:
         raise ValueError("nothing to factorize")
     if nnz > local_nnz:
-        if method != "nmf":
-            raise ValueError(f"{method} is solved on one node; {nnz} non-zeros are more than local_nnz")
-        return factorize_blocks(v, k, threshold, most or 200)
-    t = v.select("doc_id", "term", "w").toArrow()
-    docs, row = np.unique(np.asarray(t.column("doc_id")), return_inverse=True)
-    terms, col = np.unique(np.asarray(t.column("term").to_pylist(), dtype=object), return_inverse=True)
+        return factorize_blocks(v, k, method, threshold, most)
+    m, docs, terms = local_matrix(v)
     if k == -1:
         k = max(1, nnz // (len(docs) + len(terms)))
-    m = kernels.Sparse(row, col, np.asarray(t.column("w")), (len(docs), len(terms)))
     s = None
     if method == "nmf":
-        w, h, n = kernels.nmf(m, k, threshold, most=most or 10_000)
+        w, h, n = kernels.nmf(m, k, threshold, most=most or MOST[method])
     elif method == "nmtf":
-        w, s, h, n = kernels.nmtf(m, k, threshold, most=most or 1000)
+        w, s, h, n = kernels.nmtf(m, k, threshold, most=most or MOST[method])
     else:
-        w, h, n = kernels.projective_nmf(m, k, threshold, most=most or (5000 if method == "opnmf" else 1000), orthogonal=method == "opnmf")
-    if s is not None:
-        i, j = np.indices(s.shape)
-        s = spark.createDataFrame(pa.table({"i": pa.array(i.ravel() + 1, pa.int32()), "j": pa.array(j.ravel() + 1, pa.int32()), "value": pa.array(s.ravel())}))
-    return Factors(_long(spark, docs, w, "doc_id", False), _long(spark, terms.tolist(), h.T, "term", True), s, n)
+        w, h, n = kernels.projective_nmf(m, k, threshold, most=most or MOST[method], orthogonal=method == "opnmf")
+    return Factors(_long(spark, docs, w, "doc_id", False), _long(spark, terms, h.T, "term", True), _links(spark, s), n)
+
+
+def _links(spark, s: np.ndarray | None) -> DataFrame | None:
+    if s is None:
+        return None
+    i, j = np.indices(s.shape)
+    return spark.createDataFrame(pa.table({"i": pa.array(i.ravel() + 1, pa.int32()), "j": pa.array(j.ravel() + 1, pa.int32()), "value": pa.array(s.ravel())}))
 
 
 def _fs(root: str) -> tuple[pafs.FileSystem, str]:
@@ -100,75 +101,229 @@ def _load(root: str, name: str) -> np.ndarray:
         return np.load(io.BytesIO(f.read()))
 
 
-def factorize_blocks(v: DataFrame, k: int, threshold: float = 0.005, most: int = 200, block_docs: int = BLOCK_DOCS) -> Factors:
-    """nmf of v in blocks of documents, from a seeded random start; one job a round."""
-    spark = v.sparkSession
-    vocab = checkpointed(ordered_ids(v, "term", "term_id"))
-    n_terms = vocab.count()
-    n_docs = v.select("doc_id").distinct().count()
-    blocks = max(1, -(-n_docs // block_docs))
-    by = v.join(vocab, "term").select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "doc_id", "term_id", "w")
-
-    def pack(t: pa.Table) -> pa.Table:
-        docs, row = np.unique(np.asarray(t.column("doc_id")), return_inverse=True)
-        return pa.table({"block": t.column("block").slice(0, 1), "docs": pa.array([docs.tolist()], pa.list_(pa.int64())), "row": pa.array([row.tolist()], pa.list_(pa.int32())), "col": pa.array([np.asarray(t.column("term_id")).tolist()], pa.list_(pa.int32())), "val": pa.array([np.asarray(t.column("w")).tolist()], pa.list_(pa.float64()))})
-
-    packed = checkpointed(by.groupBy("block").applyInArrow(pack, "block bigint, docs array<bigint>, row array<int>, col array<int>, val array<double>"))
-    root = f"{spark.sparkContext.getCheckpointDir()}/factors-{uuid.uuid4().hex}"
-    mean = by.agg(F.sum("w")).first()[0] / (n_docs * n_terms)
-    rng = np.random.default_rng(42)
-    high = 2 * np.sqrt(mean / k)
-    h = rng.uniform(0, high, (k, n_terms))
-
-    def step(n: int, h: np.ndarray | None):
-        shared = spark.sparkContext.broadcast(h)
+class _Blocks:
+    """v in blocks of documents; run() sums what a function gives for each block."""
+
+    def __init__(self, v: DataFrame, block_docs: int):
+        self.spark = v.sparkSession
+        self.vocab = checkpointed(ordered_ids(v, "term", "term_id"))
+        self.n_terms, self.n_docs = self.vocab.count(), v.select("doc_id").distinct().count()
+        blocks = max(1, -(-self.n_docs // block_docs))
+        by = v.join(self.vocab, "term").select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), "doc_id", "term_id", "w")
+
+        def pack(t: pa.Table) -> pa.Table:
+            docs, row = np.unique(np.asarray(t.column("doc_id")), return_inverse=True)
+
+            def one(x, kind):
+                return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+
+            return pa.table({"block": t.column("block").slice(0, 1), "docs": one(docs, pa.int64()), "row": one(row.astype(np.int32), pa.int32()), "col": one(np.asarray(t.column("term_id")), pa.int32()), "val": one(np.asarray(t.column("w")), pa.float64())})
+
+        self.packed = checkpointed(by.groupBy("block").applyInArrow(pack, "block bigint, docs array<bigint>, row array<int>, col array<int>, val array<double>"))
+        self.root = f"{scratch_root(self.spark)}/factors-{uuid.uuid4().hex}"
+
+    def _parts(self, fn, shared):
+        n_terms, root, shared = self.n_terms, self.root, self.spark.sparkContext.broadcast(shared)
 
         def run(batches):
             for batch in batches:
-                for b, docs, row, col, val in zip(*(batch.column(c).to_pylist() for c in ("block", "docs", "row", "col", "val")), strict=True):
-                    m = kernels.Sparse(np.array(row, dtype=np.int64), np.array(col, dtype=np.int64), np.array(val), (len(docs), n_terms))
-                    if n == 0:
-                        old = new = np.random.default_rng(b).uniform(0, high, (len(docs), k))
-                    else:
-                        old = _load(root, f"w{n - 1}-{b}")
-                        x = shared.value
-                        new = kernels.update_w(old, m.mul(x.T), x @ x.T)
-                    _save(root, f"w{n}-{b}", new)
-                    wtv = m.tmul(new).T
-                    parts = [(-1, (new.T @ new).ravel()), (-2, ((new - old).T @ (new - old)).ravel())]
-                    parts += [(c, wtv[:, c * COLUMN_RANGE : (c + 1) * COLUMN_RANGE].ravel()) for c in range(-(-n_terms // COLUMN_RANGE))]
-                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int32()), pa.array([a.tobytes() for _, a in parts], pa.binary())], names=["part", "data"])
+                for i in range(batch.num_rows):
+                    b = batch.column("block")[i].as_py()
+                    docs, row, col, val = (np.asarray(batch.column(c)[i].values) for c in ("docs", "row", "col", "val"))
+                    m = kernels.Sparse(row.astype(np.int64), col.astype(np.int64), val, (len(docs), n_terms))
+                    out = []
+                    for part, x in enumerate(fn(b, m, lambda name, b=b: _load(root, f"{name}-{b}"), lambda name, x, b=b: _save(root, f"{name}-{b}", x), shared.value)):
+                        # matrices over the terms are cut into ranges of their rows, others go whole
+                        cuts = range(0, n_terms, COLUMN_RANGE) if x.shape[:1] == (n_terms,) else [None]
+                        out += [(part, c or 0, x if c is None else x[c : c + COLUMN_RANGE]) for c in cuts]
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in out], pa.int32()), pa.array([c for _, c, _ in out], pa.int32()), pa.array([np.ascontiguousarray(x).tobytes() for _, _, x in out], pa.binary())], names=["part", "at", "data"])
+
+        return self.packed.mapInArrow(run, "part int, at int, data binary")
+
+    def run(self, fn, shared=None) -> list[np.ndarray]:
+        """Sums over blocks of the arrays that fn(block, matrix, load, save, shared) gives."""
 
         def total(t: pa.Table) -> pa.Table:
-            s = sum(np.frombuffer(x, dtype=np.float64) for x in t.column("data").to_pylist())
-            return pa.table({"part": t.column("part").slice(0, 1), "data": pa.array([s.tobytes()], pa.binary())})
-
-        rows = packed.mapInArrow(run, "part int, data binary").groupBy("part").applyInArrow(total, "part int, data binary").collect()
-        got = {r.part: np.frombuffer(r.data, dtype=np.float64) for r in rows}
-        wtv = np.concatenate([got[c].reshape(k, -1) for c in range(-(-n_terms // COLUMN_RANGE))], axis=1)
-        return got[-1].reshape(k, k), got[-2].reshape(k, k), wtv
-
-    wtw, _, wtv = step(0, None)
-    n = 0
+            s = sum(np.frombuffer(x.as_buffer(), dtype=np.float64) for x in t.column("data"))
+            return pa.table({"part": t.column("part").slice(0, 1), "at": t.column("at").slice(0, 1), "data": pa.array([s.tobytes()], pa.binary())})
+
+        rows = self._parts(fn, shared).groupBy("part", "at").applyInArrow(total, "part int, at int, data binary").collect()
+        got: dict[int, list] = {}
+        for r in sorted(rows, key=lambda r: (r.part, r["at"])):
+            got.setdefault(r.part, []).append(np.frombuffer(r.data, dtype=np.float64))
+        return [np.concatenate(got[p]) for p in sorted(got)]
+
+    def each(self, fn, shared=None) -> list[np.ndarray]:
+        """The one small array that fn gives for each block."""
+        return [np.frombuffer(r.data, dtype=np.float64) for r in self._parts(fn, shared).collect()]
+
+    def nndsvd(self, k: int, rounds: int = 12, seed: int = 42) -> np.ndarray:
+        """Start values as in kernels.nndsvd: W is saved as w0, H is given."""
+        n, p = self.n_terms, min(k + 8, self.n_docs, self.n_terms)
+        q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, p)))[0]
+
+        def gram(b, m, load, save, q):
+            z = m.mul(q)
+            return m.tmul(z), (z.T @ z).ravel()
+
+        for _ in range(rounds):
+            vz, g = self.run(gram, q)
+            size, e = np.linalg.eigh(g.reshape(p, p))
+            ok = size > size[-1] * 1e-14
+            q = np.linalg.qr(vz.reshape(n, p) @ (e * np.where(ok, 1 / np.sqrt(np.where(ok, size, 1)), 0)))[0]
+        size, e = np.linalg.eigh(self.run(gram, q)[1].reshape(p, p))
+        order = np.argsort(-size)[: min(k, p)]
+        s, e = np.sqrt(np.maximum(size[order], 0)), e[:, order]
+        vt = (q @ e).T
+        to_u = q @ (e / np.where(s > 0, s, 1))
+
+        def peaks(b, m, load, save, x):
+            u = m.mul(x)
+            return (u[np.abs(u).argmax(axis=0), np.arange(u.shape[1])],)
+
+        top = np.array(self.each(peaks, to_u))
+        sign = np.sign(top[np.abs(top).argmax(axis=0), np.arange(len(s))])
+        to_u, vt = to_u * sign, vt * sign[:, None]
+
+        def halves(b, m, load, save, x):
+            u = m.mul(x)
+            return (np.maximum(u, 0) ** 2).sum(axis=0), (np.maximum(-u, 0) ** 2).sum(axis=0)
+
+        up, un = map(np.sqrt, self.run(halves, to_u))
+        h, side, scale = np.zeros((k, n)), np.zeros(len(s)), np.zeros(len(s))
+        h[0], scale[0] = np.sqrt(s[0]) * np.abs(vt[0]), np.sqrt(s[0])
+        for j in range(1, len(s)):
+            a, b = np.maximum(vt[j], 0), np.maximum(-vt[j], 0)
+            pos, neg = up[j] * np.linalg.norm(a), un[j] * np.linalg.norm(b)
+            size, half, x, norm = (pos, 1.0, a, up[j]) if pos >= neg else (neg, -1.0, b, un[j])
+            if size > 0:
+                f = np.sqrt(s[j] * size)
+                side[j], scale[j], h[j] = half, f / norm, f * x / np.linalg.norm(x)
+        h[h < 1e-11] = 0
+
+        def start(b, m, load, save, shared):
+            x, side, scale = shared
+            u = m.mul(x)
+            w = np.zeros((m.shape[0], k))
+            w[:, 0] = np.abs(u[:, 0]) * scale[0]
+            w[:, 1 : len(side)] = np.maximum(u[:, 1:] * side[1:], 0) * scale[1:]
+            w[w < 1e-11] = 0
+            save("w0", w)
+            return (np.zeros(1),)
+
+        self.run(start, (to_u, side, scale))
+        return h
+
+    def forget(self, name: str) -> None:
+        fs, path = _fs(self.root)
+        for f in fs.get_file_info(pafs.FileSelector(path)):
+            if f.base_name.startswith(f"{name}-"):
+                fs.delete_file(f.path)
+
+
+def _products(w: np.ndarray, old: np.ndarray, m: kernels.Sparse) -> tuple[np.ndarray, ...]:
+    """V'W, W'W, and the Gram matrix of the change."""
+    d = w - old
+    return m.tmul(w), (w.T @ w).ravel(), (d.T @ d).ravel()
+
+
+def _root(gram: np.ndarray) -> float:
+    return float(np.sqrt(max(0.0, np.linalg.eigvalsh(gram)[-1])))
+
+
+def factorize_blocks(v: DataFrame, k: int, method: str = "nmf", threshold: float = 0.005, most: int | None = None, block_docs: int = BLOCK_DOCS) -> Factors:
+    """Factors of v in blocks of documents by the steps of kernels; one job a round."""
+    spark, most = v.sparkSession, most or MOST[method]
+    x = _Blocks(v, block_docs)
+    if k == -1:
+        k = max(1, v.count() // (x.n_docs + x.n_terms))
+    n_terms, eps, zero, scale, s = x.n_terms, kernels.EPS, 1e-5, np.ones(k), None
+    h = x.nndsvd(k)
+
+    def first(b, m, load, save, shared):
+        return _products(load("w0"), load("w0"), m)
+
+    vw, ww, _ = x.run(first)
+    vw, ww = vw.reshape(n_terms, k), ww.reshape(k, k)
+    if method == "nmtf":
+        s = np.sqrt(np.abs(ww) * np.abs(h @ h.T)) + eps
+    n, last = 0, 0
     for n in range(1, most + 1):
-        new_h = kernels.update_h(wtw, wtv, h)
-        wtw, dw, wtv = step(n, new_h)
-        change = kernels.spectral_norm(new_h - h)
-        h = new_h
-        if change < threshold and np.sqrt(max(0.0, np.linalg.eigvalsh(dw)[-1])) < threshold:
+        if method in ("nmf", "nmtf"):
+            new_h = kernels.update_h(ww, vw.T, h) if method == "nmf" else h
+
+            def step(b, m, load, save, shared, n=n):
+                h, s = shared
+                old = load(f"w{n - 1}")
+                if s is None:
+                    w = kernels.update_w(old, m.mul(h.T), h @ h.T)
+                else:
+                    w = old * (m.mul(h.T) @ s.T) / (old @ (s @ (h @ h.T) @ s.T) + eps)
+                save(f"w{n}", w)
+                return _products(w, old, m)
+
+            vw, ww, dw = x.run(step, (new_h, s))
+            vw, ww, dw = vw.reshape(n_terms, k), ww.reshape(k, k), dw.reshape(k, k)
+            last = n
+            if method == "nmf":
+                done = max(_root(dw), kernels.spectral_norm(new_h - h)) < threshold
+            else:
+                hh = h @ h.T
+                new_s = s * (vw.T @ h.T) / (ww @ s @ hh + eps)
+                new_h = h * (new_s.T @ vw.T) / (new_s.T @ ww @ new_s @ h + eps)
+                done = max(np.sqrt(np.trace(dw)), np.linalg.norm(new_s - s), np.linalg.norm(new_h - h)) < threshold
+                s = new_s
+            h = new_h
+        else:
+            orthogonal = method == "opnmf"
+
+            def step(b, m, load, save, shared, n=n):
+                vw, ww, factor = shared
+                old = load(f"w{n - 1}") * factor
+                vvw = m.mul(vw)
+                inner = vw.T @ vw
+                w = old * vvw / (old @ inner + eps) if orthogonal else old * np.sqrt(vvw / (old @ inner + vvw @ ww + eps))
+                save(f"w{n}", w)
+                return m.tmul(w), (w.T @ w).ravel(), ((w - old).T @ (w - old)).ravel(), np.array([(w * old).sum(), (old * old).sum()])
+
+            new_vw, new_ww, dw, dots = x.run(step, (vw, ww, float(scale[0])))
+            new_vw, new_ww, dw = new_vw.reshape(n_terms, k), new_ww.reshape(k, k), dw.reshape(k, k)
+            if orthogonal:
+                c = 1 / (_root(new_ww) + eps)
+                done = np.sqrt(max(0.0, c * c * np.trace(new_ww) - 2 * c * dots[0] + dots[1])) < threshold
+            else:
+                c, done = 1.0, _root(dw) < threshold
+            if not done:  # the converged step isn't taken
+                vw, ww, last, scale = c * new_vw, c * c * new_ww, n, np.full(k, c)
+        if n > 1:
+            x.forget(f"w{n - 2}")
+        if done:
             break
-    h[h < 1e-5] = 0
+    if method in ("nmf", "nmtf"):
+        h[h < zero] = 0
+    else:
+        scale = scale / np.maximum(np.sqrt(np.diag(ww)), eps)
+
+    def finish(b, m, load, save, scale):
+        w = load(f"w{last}") * scale
+        w[w < zero] = 0
+        save("w", w)
+        return (m.tmul(w),)
+
+    vw = x.run(finish, scale)[0].reshape(n_terms, k)
+    if method in ("pnmf", "opnmf"):
+        h = vw.T
+    root = x.root
 
     def rows_of_w(batches):
         for batch in batches:
-            for b, docs in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist(), strict=True):
-                w = _load(root, f"w{n}-{b}")
-                w[w < 1e-5] = 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(docs), k)), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(docs))), pa.array(w.ravel())], names=["doc_id", "topic_id", "weight"])
+            for i in range(batch.num_rows):
+                docs, w = np.asarray(batch.column("docs")[i].values), _load(root, f"w-{batch.column('block')[i].as_py()}")
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(docs, k)), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(docs))), pa.array(w.ravel())], names=["doc_id", "topic_id", "weight"])
 
-    w = packed.select("block", "docs").mapInArrow(rows_of_w, "doc_id bigint, topic_id int, weight double")
-    terms = vocab.orderBy("term_id").toPandas()["term"].tolist()
-    return Factors(w, _long(spark, terms, h.T, "term", True), None, n)
+    w = x.packed.select("block", "docs").mapInArrow(rows_of_w, "doc_id bigint, topic_id int, weight double")
+    terms = x.vocab.orderBy("term_id").toPandas()["term"].tolist()
+    return Factors(w, _long(spark, terms, h.T, "term", True), _links(spark, s), n)
 
 
 def topic_subset(v: DataFrame, w: DataFrame, topic: int, least: float = 0.01) -> DataFrame:
@@ -177,8 +332,13 @@ def topic_subset(v: DataFrame, w: DataFrame, topic: int, least: float = 0.01) ->
 
 
 def local_matrix(v: DataFrame) -> tuple[kernels.Sparse, np.ndarray, list[str]]:
-    """v gathered as a sparse matrix, with the ids of its rows and the terms of its columns."""
-    t: pd.DataFrame = v.select("doc_id", "term", "w").toPandas()
-    docs, row = np.unique(t["doc_id"].to_numpy(), return_inverse=True)
-    terms, col = np.unique(t["term"].to_numpy(dtype=object), return_inverse=True)
-    return kernels.Sparse(row, col, t["w"].to_numpy(), (len(docs), len(terms))), docs, terms.tolist()
+    """v gathered as a sparse matrix, with the ids of its rows and the terms of its columns, both in order."""
+    t = v.select("doc_id", "term", "w").toArrow()
+    docs, row = np.unique(np.asarray(t.column("doc_id")), return_inverse=True)
+    coded = t.column("term").combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    names = coded.dictionary.to_pylist()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    place = np.empty(len(names), dtype=np.int64)
+    place[order] = np.arange(len(names))
+    return kernels.Sparse(row, place[np.asarray(coded.indices)], np.asarray(t.column("w")), (len(docs), len(names))), docs, [names[i] for i in order]

@@ -5,11 +5,19 @@ The distributed solver runs the same updates block by block (see factorize).
 
 from __future__ import annotations
 
+import os
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 
 EPS = 1e-10
 
 
+#: Non-zeros that one thread multiplies at a time.
+CHUNK = 1 << 17
+_THREADS = min(8, os.cpu_count() or 1)
+
+
 class Sparse:
     """A sparse matrix by rows and, for transposed products, by columns; empty rows and columns are fine."""
 
@@ -19,22 +27,44 @@ class Sparse:
         self.row, self.col, self.val = row[by_row], col[by_row], val[by_row].astype(np.float64)
         by_col = np.lexsort((self.row, self.col))
         self._t = (self.col[by_col], self.row[by_col], self.val[by_col])
-
-    @staticmethod
-    def _product(out_at: np.ndarray, in_at: np.ndarray, val: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros((n, b.shape[1]))
-        if len(val):
-            first = np.flatnonzero(np.append(True, out_at[1:] != out_at[:-1]))
-            out[out_at[first]] = np.add.reduceat(val[:, None] * b[in_at], first, axis=0)
+        self._cuts: dict[bool, tuple] = {}
+
+    def _runs(self, transposed: bool) -> tuple:
+        """Where rows start, and chunks of about CHUNK non-zeros that begin with a row."""
+        if transposed not in self._cuts:
+            out_at = self._t[0] if transposed else self.row
+            first = np.flatnonzero(np.append(True, out_at[1:] != out_at[:-1])) if len(out_at) else np.zeros(0, np.int64)
+            at = np.unique(np.searchsorted(first, np.arange(0, len(out_at), CHUNK)))
+            at = at[at < len(first)]
+            self._cuts[transposed] = (first, out_at[first], list(zip(at.tolist(), [*at[1:].tolist(), len(first)], strict=True)))
+        return self._cuts[transposed]
+
+    def _product(self, transposed: bool, b: np.ndarray) -> np.ndarray:
+        in_at, val = self._t[1:] if transposed else (self.col, self.val)
+        out = np.zeros((self.shape[1] if transposed else self.shape[0], b.shape[1]))
+        first, rows, chunks = self._runs(transposed)
+        columns = np.ascontiguousarray(b.T)
+
+        def part(lo: int, hi: int) -> None:
+            s = slice(first[lo], first[hi] if hi < len(first) else len(val))
+            for j, c in enumerate(columns):
+                out[rows[lo:hi], j] = np.add.reduceat(val[s] * c[in_at[s]], first[lo:hi] - first[lo])
+
+        if len(chunks) < 2:
+            for c in chunks:
+                part(*c)
+        else:
+            with ThreadPoolExecutor(_THREADS) as pool:
+                list(pool.map(lambda c: part(*c), chunks))
         return out
 
     def mul(self, b: np.ndarray) -> np.ndarray:
         """V b."""
-        return self._product(self.row, self.col, self.val, b, self.shape[0])
+        return self._product(False, b)
 
     def tmul(self, b: np.ndarray) -> np.ndarray:
         """V' b."""
-        return self._product(*self._t, b, self.shape[1])
+        return self._product(True, b)
 
 
 def spectral_norm(x: np.ndarray) -> float:

@@ -26,9 +26,9 @@ FREQ = TOK + ", freq AS (SELECT term, count(*) AS f FROM tok GROUP BY term)"
 PAIRS = FREQ + """, pairs AS MATERIALIZED (SELECT w1, w2, count(*) AS freq FROM (SELECT term AS w1, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS w2 FROM tok) WHERE w2 IS NOT NULL GROUP BY w1, w2)"""
 TOPICS = 5
 W_SQL = f"w AS (SELECT doc_id, t::INTEGER AS topic_id, CASE WHEN doc_id % 50 = 0 THEN 0.0::DOUBLE ELSE ((doc_id * 7 + t * 13) % 11) / 10.0::DOUBLE END AS weight FROM documents, range(1, {TOPICS + 1}) r(t))"
-#: Pseudo-factor of all terms, weighted by the rank of their frequency.
+#: Pseudo-factor of all terms: weights fall with the rank of their frequency, so topics share some of their first words.
 H_SQL = FREQ + f""", ranked AS (SELECT term, row_number() OVER (ORDER BY f DESC, term) AS r FROM freq),
-h AS (SELECT t::INTEGER AS topic_id, term, ((r * 5 + t * 3) % 23) / 10.0::DOUBLE AS weight FROM ranked, range(1, {TOPICS + 1}) x(t))"""
+h AS (SELECT t::INTEGER AS topic_id, term, ((r * 5 + t * 3) % 23)::DOUBLE / (10 + r)::DOUBLE AS weight FROM ranked, range(1, {TOPICS + 1}) x(t))"""
 S_SQL = "s AS (SELECT i::INTEGER AS i, j::INTEGER AS j, CASE WHEN j = 4 THEN 0.0::DOUBLE ELSE ((i * 3 + j * 7) % 10) / 10.0::DOUBLE END AS value FROM range(1, 6) a(i), range(1, 6) b(j))"
 TIMES_SQL = "times AS (SELECT doc_id, TIMESTAMP '2015-01-01' + to_days((doc_id * 37 % 3650)::INTEGER) AS ts FROM documents)"
 
@@ -48,7 +48,7 @@ def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, term, tf), cleaned and counted once and read from the shared folder however often it is used."""
-    return checkpointed(vocab.count_terms(tokenized(spark, sf_dir)))
+    return checkpointed(vocab.count_english(documents(spark, sf_dir)))
 
 
 def tok(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +61,9 @@ def pseudo_w(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pseudo_h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    freq = vocab.count_terms(tokenized(spark, sf_dir)).groupBy("term").agg(F.sum("tf").alias("freq"))
+    freq = vocab.count_english(documents(spark, sf_dir)).groupBy("term").agg(F.sum("tf").alias("freq"))
     h = ranked(freq, [F.desc("freq"), F.col("term")], "r").withColumn("topic_id", F.explode(F.array(*[F.lit(t) for t in range(1, TOPICS + 1)])))
-    return h.select("topic_id", "term", ((F.col("r") * 5 + F.col("topic_id") * 3) % 23 / 10.0).alias("weight"))
+    return h.select("topic_id", "term", ((F.col("r") * 5 + F.col("topic_id") * 3) % 23 / (10 + F.col("r"))).alias("weight"))
 
 
 def pseudo_s(spark: SparkSession) -> DataFrame:

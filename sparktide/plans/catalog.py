@@ -1,6 +1,6 @@
 """The library's own queries; importing this module registers them."""
 
-from . import text_queries, topic_queries  # noqa: F401
+from . import report_queries, text_queries, topic_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 FLAGSHIP = "flagship_topics"

@@ -36,9 +36,9 @@ def _(s, d):
     return out(documents(s, d).select("doc_id").join(table(s, d, "labels"), "doc_id", "left").select("doc_id", "quality").dropna("any"))
 
 
-@query("filter_country_ci", "SELECT n_nationkey, n_name FROM nation WHERE upper(n_name) = upper('Germany')")
+@query("filter_country_ci", "SELECT n_nationkey, n_name FROM nation WHERE upper(n_name) = upper('nation_7')")
 def _(s, d):
-    return R.filter_equal_ci(table(s, d, "nation"), "n_name", "Germany").select("n_nationkey", "n_name")
+    return R.filter_equal_ci(table(s, d, "nation"), "n_name", "nation_7").select("n_nationkey", "n_name")
 
 
 @query("filter_exact", "SELECT doc_id, source FROM documents WHERE source = 'src3'")
@@ -91,9 +91,10 @@ def _(s, d):
     return R.drop_far_points(table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("x"), (F.col("o_custkey") % 997).cast("double").alias("y"))).select("id")
 
 
-@query("join_exact_text", "SELECT DISTINCT b.item_id, d.doc_id FROM documents d JOIN benchmark b ON d.text = b.text")
+@query("join_exact_text", "SELECT DISTINCT b.doc_id AS item_id, d.doc_id FROM documents d JOIN documents b ON d.text = b.text AND b.source = 'src3'")
 def _(s, d):
-    return documents(s, d).join(table(s, d, "benchmark"), "text").select("item_id", "doc_id").distinct()
+    wanted = documents(s, d).where("source = 'src3'").select(F.col("doc_id").alias("item_id"), "text")
+    return documents(s, d).join(wanted, "text").select("item_id", "doc_id").distinct()
 
 
 @query("anti_join_text", "SELECT b.item_id FROM benchmark b LEFT JOIN documents d ON d.text = b.text WHERE d.text IS NULL")

@@ -14,6 +14,7 @@ from ..operators import temporal as M
 from ..operators import topics as P
 from ..operators import vocab as V
 from ..operators import weights as G
+from ..operators.shared import checkpointed
 from .base import counted, FREQ, H_SQL, S_SQL, TIMES_SQL, W_SQL, documents, out, pseudo_h, pseudo_s, pseudo_w, table, times, tok, tokenized
 from .registry import query
 
@@ -191,16 +192,16 @@ def _(s, d):
     return out(_sim(s, d))
 
 
-@query("redundant_topics", f"WITH {_SIM} SELECT i::BIGINT AS i, j::BIGINT AS j FROM sims WHERE js >= 0.5")
+@query("redundant_topics", f"WITH {_SIM} SELECT i::BIGINT AS i, j::BIGINT AS j FROM sims WHERE js >= 0.8")
 def _(s, d):
-    return out(_sim(s, d).where("js >= 0.5").select("i", "j"))
+    return out(_sim(s, d).where("js >= 0.8").select("i", "j"))
 
 
-@query("merge_components", f"""WITH RECURSIVE {_SIM}, e AS (SELECT i, j FROM sims WHERE js >= 0.5 UNION SELECT j, i FROM sims WHERE js >= 0.5),
+@query("merge_components", f"""WITH RECURSIVE {_SIM}, e AS (SELECT i, j FROM sims WHERE js >= 0.84 UNION SELECT j, i FROM sims WHERE js >= 0.84),
 reach AS (SELECT topic_id AS a, topic_id AS b FROM ids UNION SELECT reach.a, e.j FROM reach JOIN e ON e.i = reach.b) SELECT a::BIGINT AS topic_id, min(b)::BIGINT AS group_id FROM reach GROUP BY a""")
 def _(s, d):
     h = pseudo_h(s, d)
-    return out(P.merge_topics(_sim(s, d), h.select("topic_id").distinct(), 0.5, "js"))
+    return out(P.merge_topics(_sim(s, d), h.select("topic_id").distinct(), 0.84, "js"))
 
 
 @query("sim_summary", f"WITH {_SIM} SELECT round(avg(js), 6) AS mean, round(min(js), 6) AS min, round(max(js), 6) AS max, round(stddev_pop(js), 6) AS std, round(quantile_cont(js, 0.5), 6) AS median, round(1 - avg(js), 6) AS diversity FROM sims")
@@ -208,10 +209,10 @@ def _(s, d):
     return out(P.similarity_summary(_sim(s, d), "js"))
 
 
-@query("laplacian", f"""WITH {_SIM}, a AS (SELECT i, j, js AS a FROM sims WHERE js >= 0.03 UNION ALL SELECT j, i, js FROM sims WHERE js >= 0.03)
+@query("laplacian", f"""WITH {_SIM}, a AS (SELECT i, j, js AS a FROM sims WHERE js >= 0.65 UNION ALL SELECT j, i, js FROM sims WHERE js >= 0.65)
 SELECT i::BIGINT AS i, j::BIGINT AS j, round(-a, 6) AS value FROM a UNION ALL SELECT i::BIGINT, i::BIGINT, round(sum(a), 6) FROM a GROUP BY i""")
 def _(s, d):
-    return out(P.laplacian(_sim(s, d), 0.03, "js"))
+    return out(P.laplacian(_sim(s, d), 0.65, "js"))
 
 
 # topic graph
@@ -262,13 +263,14 @@ def _(s, d):
     return out(P.elbow(table(s, d, "nation").select((F.col("n_nationkey") + 2).alias("k"), ((F.col("n_nationkey") * 37) % 23 / 7.0).alias("score"))))
 
 
-@query("reconstruction_error", f"""WITH {H_SQL}, {W_SQL}, v AS (SELECT doc_id, term, count(*)::DOUBLE AS v FROM tok WHERE term IN (SELECT term FROM h) GROUP BY doc_id, term),
-full_ AS (SELECT w.doc_id, h.term, sum(w.weight * h.weight) AS r FROM w JOIN h USING (topic_id) GROUP BY w.doc_id, h.term),
-e AS (SELECT sum(pow(coalesce(v, 0) - r, 2)) AS sq_error, sum(pow(coalesce(v, 0), 2)) AS vv FROM full_ LEFT JOIN v USING (doc_id, term))
+@query("reconstruction_error", f"""WITH {H_SQL}, {W_SQL}, v AS (SELECT doc_id, term, count(*)::DOUBLE AS v FROM tok GROUP BY doc_id, term),
+vr AS (SELECT sum(v * w.weight * h.weight) AS vr FROM v JOIN w USING (doc_id) JOIN h ON h.term = v.term AND h.topic_id = w.topic_id),
+gw AS (SELECT a.topic_id AS i, b.topic_id AS j, sum(a.weight * b.weight) AS g FROM w a JOIN w b USING (doc_id) GROUP BY ALL), gh AS (SELECT a.topic_id AS i, b.topic_id AS j, sum(a.weight * b.weight) AS g FROM h a JOIN h b USING (term) GROUP BY ALL),
+e AS (SELECT (SELECT sum(v * v) FROM v) AS vv, (SELECT sum(v * v) FROM v) - 2 * (SELECT vr FROM vr) + (SELECT sum(gw.g * gh.g) FROM gw JOIN gh USING (i, j)) AS sq_error)
 SELECT round(sq_error, 2) AS sq_error, round(sqrt(sq_error / vv), 2) AS relative, round(1 - sq_error / vv, 2) AS explained FROM e""")
 def _(s, d):
     h = pseudo_h(s, d)
-    v = counted(s, d).join(h.select("term").distinct(), "term", "left_semi").select("doc_id", "term", F.col("tf").cast("double").alias("w"))
+    v = counted(s, d).select("doc_id", "term", F.col("tf").cast("double").alias("w"))
     return out(P.reconstruction(v, pseudo_w(s, d), h), 2)
 
 
@@ -293,9 +295,10 @@ def _(s, d):
     return O.strongest_words(O.window_cooccurrence(tok(s, d)))
 
 
-@query("cooc_factor", f"WITH {H_SQL} SELECT a.term AS w1, b.term AS w2, round(sum(a.weight * b.weight), 6) AS score FROM h a JOIN h b ON a.topic_id = b.topic_id AND a.term < b.term GROUP BY 1, 2 HAVING sum(a.weight * b.weight) > 0")
+@query("cooc_factor", f"WITH {H_SQL}, best AS ({_TOP.format(cols='term, weight', key='term', t='h', n=50)}) SELECT a.term AS w1, b.term AS w2, round(sum(a.weight * b.weight), 6) AS score FROM best a JOIN best b ON a.topic_id = b.topic_id AND a.term < b.term GROUP BY 1, 2 HAVING sum(a.weight * b.weight) > 0")
 def _(s, d):
-    return out(O.factor_cooccurrence(pseudo_h(s, d)))
+    best = P.top_words(pseudo_h(s, d), 50).withColumnRenamed("score", "weight")  # the 50 first words of each topic
+    return out(O.factor_cooccurrence(best))
 
 
 # time
@@ -339,9 +342,9 @@ def _(s, d):
     return out(M.fill_years(x.groupBy("year", "topic_id").agg(F.count(F.lit(1)).alias("value"))))
 
 
-@query("sparse_periods", f"WITH {_COUNTS} SELECT period, sum(value) AS total FROM dist GROUP BY period HAVING sum(value) < 20")
+@query("sparse_periods", f"WITH {_COUNTS} SELECT period, sum(value) AS total FROM dist GROUP BY period HAVING sum(value) < 24")
 def _(s, d):
-    return out(M.sparse_periods(_dist(s, d), 20))
+    return out(M.sparse_periods(_dist(s, d), 24))
 
 
 @query("mm_yyyy_order", "WITH p AS (SELECT DISTINCT strftime(o_orderdate, '%m-%Y') AS period FROM orders) SELECT period, row_number() OVER (ORDER BY strptime(period, '%m-%Y')) AS n FROM p")
@@ -404,22 +407,22 @@ def _(s, d):
 
 
 def _weights(s, d):
-    return G.tfidf(documents(s, d), counted(s, d))
+    return checkpointed(G.tfidf(documents(s, d), counted(s, d)))
 
 
 @query("flagship_topics")
 def _(s, d):
     """Top words of 5 topics of the whole corpus, end to end: clean, weigh, factorize, rank."""
-    return P.top_words(Z.factorize(_weights(s, d), 5, most=100).h)
+    return P.top_words(Z.factorize(_weights(s, d), 5).h)
 
 
 for _m in ("pnmf", "opnmf", "nmtf"):
-    query(f"topics_{_m}")(lambda s, d, m=_m: P.top_words(Z.factorize(_weights(s, d), 5, m, most=30).h))
+    query(f"topics_{_m}")(lambda s, d, m=_m: P.top_words(Z.factorize(_weights(s, d), 5, m).h))
 
 
 @query("topics_in_blocks")
 def _(s, d):
-    return P.top_words(Z.factorize_blocks(_weights(s, d), 5, most=5).h)
+    return P.top_words(Z.factorize(_weights(s, d), 5, local_nnz=0).h)
 
 
 @query("pipeline_tokens_top_terms", f"""WITH {FREQ}, x AS (SELECT d.source, t.term, count(*) AS n FROM tok t JOIN documents d USING (doc_id) GROUP BY ALL) SELECT source, rank, term, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS rank FROM x) WHERE rank <= 10""")
