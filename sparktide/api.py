@@ -89,6 +89,7 @@ def run_topic_analysis(spark: SparkSession, filepath: str | None = None, datafra
     if o.ngrams:
         n = o.merges or vocab.token_frequency(vocab.explode_tokens(words)).agg(F.count("*").alias("v")).select(vocab.auto_ngram_count(F.col("v"))).first()[0]
         words, merges = vocab.fit_merges(words, n, method=o.ngrams)
+        words = checkpointed(words)
     tok = vocab.explode_tokens(words)
     matrix = weights.tfidf(words, checkpointed(vocab.count_terms(words)), "prob" if o.language.upper() == "TR" else "smooth", weights=docs.select("doc_id", "weight") if o.weight_col else None)
     matrix = checkpointed(matrix)
@@ -98,7 +99,7 @@ def run_topic_analysis(spark: SparkSession, filepath: str | None = None, datafra
     k = found.h.agg(F.max("topic_id")).first()[0]
     pairs = coherence.document_pairs(tok, top)
     umass = coherence.u_mass(pairs, docs.agg(F.count("*").alias("n")))
-    cv = coherence.c_v(tok, top)
+    cv = coherence.c_v(words, top)
     return TopicResult(
         options=o, warning=warning, texts=texts, documents=words, merges=merges, matrix=matrix, factors=found, words=top, dominant=best,
         top_documents=topics.top_documents(found.w, texts, o.top_documents), relevance=topics.relevance(found.h, found.w), coherence=umass, c_v=cv,
@@ -116,6 +117,6 @@ def run_optimization(spark: SparkSession, dataframe: DataFrame, column: str, lea
     curve = []
     for k in range(least, most + 1, step):
         found = factorize.factorize(matrix, k, o.method, o.threshold, o.rounds)
-        c = coherence.c_v(tok, topics.top_words(found.h, o.words_per_topic)).agg(F.avg("c_v")).first()[0]
+        c = coherence.c_v(docs, topics.top_words(found.h, o.words_per_topic)).agg(F.avg("c_v")).first()[0]
         curve.append((k, float(c if c is not None else 0.0)))
     return max(curve, key=lambda x: (x[1], -x[0]))[0], curve

@@ -1,6 +1,12 @@
+import math
+import random
+from collections import Counter
+
 import pyarrow as pa
+import pytest
 
 from sparktide.functions import text as X
+from sparktide.operators import coherence as C
 from sparktide.operators import vocab as V
 
 
@@ -11,4 +17,54 @@ def test_texts_become_objects_a_slice_at_a_time(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
     assert {(r.doc_id, r.term): r.tf for r in V.count_english(docs).collect()} == {(i, w): t.count(w) for i, t in enumerate(texts) if t for w in ("ab", "cd")}
     got = {r.doc_id: r.n for r in docs.select("doc_id", X.clean_english(docs.text).alias("t")).selectExpr("doc_id", "size(t) AS n").collect()}
-    assert got == {0: 2, 1: 400_000, 2: 6, 3: 200_000, 4: 200_000, 5: -1, 6: 0}
+    assert got == {0: 2, 1: 400_000, 2: 6, 3: 200_000, 4: 200_000, 5: None, 6: 0}
+
+
+def slow_merges(docs, rounds, score, least=2):
+    docs, done = {k: list(v) for k, v in docs.items()}, []
+    for rank in range(1, rounds + 1):
+        pairs = Counter((a, b) for v in docs.values() for a, b in zip(v, v[1:], strict=False))
+        f, n = Counter(w for v in docs.values() for w in v), sum(pairs.values())
+        best = min(((-round(score(c, f[a], f[b], n, sum(f.values())), 9), a, b) for (a, b), c in pairs.items() if c >= least), default=None)
+        if best is None:
+            break
+        a, b = best[1:]
+        done.append((rank, a, b, pairs[a, b]))
+        for k, v in docs.items():
+            out, i = [], 0
+            while i < len(v):
+                two = v[i : i + 2] == [a, b]
+                out.append(f"{a}_{b}" if two else v[i])
+                i += 1 + two
+            docs[k] = out
+    return docs, done
+
+
+@pytest.mark.parametrize("method, use_pmi", [("bpe", False), ("bpe", True), ("wordpiece", False)])
+@pytest.mark.parametrize("rewrite", [16, 3])
+def test_merges_count_changes_only(spark, monkeypatch, method, use_pmi, rewrite):
+    monkeypatch.setattr(V, "REWRITE_AFTER", rewrite)
+    r = random.Random(5)
+    docs = {i: [r.choice("aaabbcde") for _ in range(r.randrange(30))] for i in range(25)} | {90: ["a", "b_c", "a_b", "c", "a_b", "c"], 91: []}
+    scores = {"bpe": lambda c, *_: c, "wordpiece": lambda c, a, b, *_: round(c / ((a + 1e-10) * (b + 1e-10)), 12)}
+    pmi = lambda c, a, b, n, t: math.log2((c / n) / ((a / t) * (b / t))) * math.log2(c + 1)
+    calls = []
+    real = V.row_pairs
+    monkeypatch.setattr(V, "row_pairs", lambda d: calls.append(1) or real(d))
+    got, done = V.fit_merges(spark.createDataFrame([*docs.items(), (92, None)], "doc_id bigint, tokens array<string>"), 8, method=method, use_pmi=use_pmi)
+    want, wanted = slow_merges(docs, 8, pmi if use_pmi else scores[method])
+    assert done == wanted
+    assert {x.doc_id: x.tokens for x in got.collect()} == want | {92: None}
+    assert len(calls) < len(done)
+
+
+def test_windows_by_counting_them_all(spark, monkeypatch):
+    monkeypatch.setattr(C, "WINDOWS", 16)
+    r = random.Random(3)
+    docs = {i: [r.choice("abcdefghij") for _ in range(n)] for i, n in enumerate([0, 1, 4, 5, 6, 40, 90])}
+    words = spark.createDataFrame([(t, k, w) for t, ws in ((1, "abz"), (2, "bcd")) for k, w in enumerate(ws, 1)], "topic_id int, rank int, term string")
+    pairs, total = C.window_pairs(spark.createDataFrame([*docs.items(), (9, None)], "doc_id int, tokens array<string>"), words, 5)
+    wins = [set(v[i : i + 5]) for v in docs.values() if v for i in range(max(1, len(v) - 4))]
+    n = lambda *ws: sum(set(ws) <= w for w in wins)
+    assert total.first().n == len(wins)
+    assert {(p.topic_id, p.w1, p.w2): (p.d1, p.d2, p.d12) for p in pairs.collect()} == {(t, a, b): (n(a), n(b), n(a, b)) for t, ws in ((1, "abz"), (2, "bcd")) for i, a in enumerate(ws) for b in ws[i + 1 :]}
