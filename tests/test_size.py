@@ -2,11 +2,14 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from sparktide.functions import text as X
 from sparktide.operators import coherence as C
+from sparktide.operators import factorize as Z
+from sparktide.operators import topics as P
 from sparktide.operators import vocab as V
 
 
@@ -68,3 +71,39 @@ def test_windows_by_counting_them_all(spark, monkeypatch):
     n = lambda *ws: sum(set(ws) <= w for w in wins)
     assert total.first().n == len(wins)
     assert {(p.topic_id, p.w1, p.w2): (p.d1, p.d2, p.d12) for p in pairs.collect()} == {(t, a, b): (n(a), n(b), n(a, b)) for t, ws in ((1, "abz"), (2, "bcd")) for i, a in enumerate(ws) for b in ws[i + 1 :]}
+
+
+def test_tasks_of_blocks_hold_their_own_terms_only(spark):
+    v = spark.createDataFrame([(d, f"t{d}_{i}", 1.0 + i) for d in range(12) for i in range(4)], "doc_id bigint, term string, w double")
+    x = Z._Blocks(v, 3)
+
+    def size(b, m, load, save, shared):
+        return (np.array([len(shared[0]), m.shape[1], m.shape[0]], dtype=float),)
+
+    q = np.arange(x.n_terms * 2, dtype=float).reshape(-1, 2)
+    blocks = x.each(size, (q,))
+    assert x.n_terms == 48 and all(a == b == 4 * n for a, b, n in blocks) and sum(n for _, _, n in blocks) == 12
+    total = x.run(lambda b, m, load, save, q: (Z._ByTerm(m.tmul(m.mul(q))),), q)[0].reshape(-1, 2)
+    names = [r.term for r in x.vocab.orderBy("term_id").collect()]
+    dense = np.zeros((12, 48))
+    for r in v.collect():
+        dense[r.doc_id, names.index(r.term)] = r.w
+    assert np.allclose(total, dense.T @ (dense @ q))
+
+
+def joined_rows(df):
+    return sum(line.count("topic_id") > 0 for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+
+
+def test_documents_are_joined_once_for_all_topics(spark):
+    v = spark.createDataFrame([(d, w, 2.0) for d in (1, 2) for w in ("a", "b", "z")], "doc_id bigint, term string, w double")
+    h = spark.createDataFrame([(t, w, float(t + i)) for t in (1, 2, 3) for i, w in enumerate("ab")] + [(4, "c", 1.0)], "topic_id int, term string, weight double")
+    w = spark.createDataFrame([(d, t, d / t) for d in (1, 2) for t in (1, 2, 3)], "doc_id bigint, topic_id int, weight double")
+    scored = P.score_documents(v, h)
+    got = {(r.doc_id, r.topic_id): (round(r.score, 9), round(r.share, 9)) for r in scored.collect()}
+    assert got == {(d, t): (round((2 * t + 1) / 3**0.5, 9), round((2 * t + 1) / 15, 9)) for d in (1, 2) for t in (1, 2, 3)}
+    error = P.reconstruction(v, w, h)
+    wh = {(d, x): sum(d / t * (t + i) for t in (1, 2, 3)) for d in (1, 2) for i, x in enumerate("ab")}
+    want = sum((2 - s) ** 2 for s in wh.values()) + 2 * 4
+    assert round(error.first().sq_error, 6) == round(want, 6)
+    assert joined_rows(scored) == 0
