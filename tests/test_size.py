@@ -107,3 +107,9 @@ def test_documents_are_joined_once_for_all_topics(spark):
     want = sum((2 - s) ** 2 for s in wh.values()) + 2 * 4
     assert round(error.first().sq_error, 6) == round(want, 6)
     assert joined_rows(scored) == 0
+
+
+def test_tokens_of_slices_are_those_of_cleaning(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["The cat xx sat", "ab " * 500_000, None, "", "cd ef"])], "doc_id bigint, text string").coalesce(1)
+    want = docs.select("doc_id", X.clean_english(docs.text).alias("tokens"))
+    assert {r.doc_id: r.tokens for r in V.english_tokens(docs).collect()} == {r.doc_id: r.tokens for r in want.collect()}
