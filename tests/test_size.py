@@ -113,3 +113,23 @@ def test_tokens_of_slices_are_those_of_cleaning(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["The cat xx sat", "ab " * 500_000, None, "", "cd ef"])], "doc_id bigint, text string").coalesce(1)
     want = docs.select("doc_id", X.clean_english(docs.text).alias("tokens"))
     assert {r.doc_id: r.tokens for r in V.english_tokens(docs).collect()} == {r.doc_id: r.tokens for r in want.collect()}
+
+
+@pytest.mark.parametrize("method", ["nmtf", "opnmf"])
+def test_rounds_need_no_jobs_of_their_own(spark, monkeypatch, method):
+    r = random.Random(2)
+    v = spark.createDataFrame([(d, f"t{t:02d}", 1.0 + r.random()) for d in range(30) for t in r.sample(range(40), 8)], "doc_id bigint, term string, w double")
+    want = Z.factorize(v, 2, method, threshold=0, most=9)
+    jobs = []
+    for most, barriers in ((2, True), (9, True), (9, False)):
+        spark.sparkContext.setJobGroup(name := f"{method} {most} {barriers}", "")
+        monkeypatch.setattr(Z, "_barriers", lambda _, b=barriers: b)
+        got = Z.factorize_blocks(v, 2, method, threshold=0, most=most, block_docs=3)  # more blocks than tasks
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)))
+        if most == 9:
+            assert got.rounds == want.rounds == 9
+            for a, b, key in ((got.w, want.w, "doc_id"), (got.h, want.h, "term")):
+                a, b = ({(x[key], x.topic_id): x.weight for x in f.collect()} for f in (a, b))
+                assert a.keys() == b.keys() and np.allclose([a[i] for i in sorted(a)], [b[i] for i in sorted(a)], atol=1e-6)
+    assert jobs[0] == jobs[1] < jobs[2]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
